@@ -83,29 +83,33 @@ def merge_by(df: DataFrame, keys: list[str], centroids: str = "centroids") -> Da
     return df.groupBy(*keys).applyInPandas(final, f"{kinds}, centroids {CENTROIDS}")
 
 
-@F.pandas_udf("array<double>")
-def digest_quantiles(centroids: pd.Series) -> pd.Series:
+def summary(mean: np.ndarray, weight: np.ndarray) -> list[float]:
     """Mean, the quantiles 0.5, 0.9, 0.95, 0.99, and the maximum of a digest."""
-    out = []
-    for c in centroids:
-        mean = np.array([x["mean"] for x in c], float) if c is not None else np.empty(0)
-        weight = np.array([x["weight"] for x in c], float) if c is not None else np.empty(0)
-        whole = float((mean * weight).sum() / weight.sum()) if len(mean) else float("nan")
-        out.append([whole, *(quantile(mean, weight, q) for q in (0.5, 0.9, 0.95, 0.99)), float(mean.max()) if len(mean) else float("nan")])
-    return pd.Series(out)
-
-
-@F.pandas_udf("array<double>")
-def merged_quantiles(centroids: pd.Series) -> list[float]:
-    """The same of a group of digests given as 'mean weight;' texts: a grouped aggregate."""
-    pairs = [p.split() for t in centroids.dropna() for p in t.split(";") if p.strip()]
-    mean, weight = np.array([float(a) for a, _ in pairs]), np.array([float(b) for _, b in pairs])
-    mean, weight = compress(mean, weight)
     if not len(mean):
         return [float("nan")] * 6
     return [float((mean * weight).sum() / weight.sum()), *(quantile(mean, weight, q) for q in (0.5, 0.9, 0.95, 0.99)), float(mean.max())]
 
 
+def digest_quantiles(centroids: str):
+    """The summary of each row's digest."""
+
+    def run(col: pd.Series) -> pd.Series:
+        return pd.Series([summary(np.array([x["mean"] for x in c], float), np.array([x["weight"] for x in c], float)) if c is not None else None for c in col])
+
+    return F.pandas_udf(run, "array<double>")(centroids)
+
+
+def merged_quantiles(centroids: str):
+    """The summary of a group's digests, given as 'mean weight;' texts: a grouped aggregate."""
+
+    def run(col: pd.Series) -> list:
+        pairs = [p.split() for t in col.dropna() for p in t.split(";") if p.strip()]
+        return summary(*compress(np.array([float(a) for a, _ in pairs]), np.array([float(b) for _, b in pairs])))
+
+    run.__annotations__ = {"col": pd.Series, "return": list}
+    return F.pandas_udf(run, "array<double>", F.PandasUDFType.GROUPED_AGG)(centroids)
+
+
 def kll_report(m: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Quantiles by the built-in mergeable sketch: bounded state, all in the JVM."""
     q = F.expr(f"kll_sketch_agg_double({value})")

@@ -82,7 +82,7 @@ def config_map(s: Column) -> Column:
 
 def sql_block(text: Column) -> Column:
     """The first fenced block of SQL in a text."""
-    return F.trim(F.regexp_extract(text, r"(?is)```sql\s*(.*?)```", 1))
+    return F.regexp_extract(text, r"(?is)```sql\s*(.*?)\s*```", 1)
 
 
 def flat_type_args(s: Column) -> Column:
@@ -136,4 +136,4 @@ def strip_comments(ddl: Column) -> Column:
 
 def statements(script: Column) -> Column:
     """The script's statements, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(strip_comments(script), ";"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(strip_comments(script), ";"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda s: s != "")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sluice.session import stored
+
 #: Rows of an output file, files of an import statement.
 MAX_ROWS, IMPORT_FILES = 100_000, 20
 
@@ -23,7 +25,8 @@ def ranked(df: DataFrame, order: Sequence[str], name: str = "rn", parts: int | N
     """
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    # written before it is read twice: sampled bounds and adaptive partitions may differ between two runs
+    cut = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "ranked")
     sizes = cut.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("lo"))
     w = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     sizes = sizes.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0)))

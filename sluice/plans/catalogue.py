@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sluice.plans import generated, latency, relational, scalar
+
 Query = Callable[[SparkSession, str], DataFrame]
+ALL = latency.QUERIES | relational.QUERIES | scalar.QUERIES | generated.QUERIES
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: f for k, (f, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in ALL.items() if sql}
