@@ -259,7 +259,8 @@ def vector_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shards:
     ship(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    good = rows.where(F.coalesce(finite, F.lit(False)))
+    sound = F.coalesce(finite & F.col("vec_id").isNotNull(), F.lit(False))
+    good = rows.where(sound)
     reps = stored(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count_distinct("vec_id").alias("n")), "ann-vectors")
     total = reps.count()
     parts = max(shards, -(-total // shard_rows))
@@ -273,5 +274,5 @@ def vector_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shards:
     same = reps.select("embedding", F.col("vec_id").alias("rep"), "n").join(counts, "rep", "left").join(comp, "rep", "left")
     same = same.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     out = good.join(same, "embedding").select("vec_id", "n_links", "component_id")
-    rest = rows.where(~F.coalesce(finite, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    rest = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = stored(docs.mapInPandas(_sketches(shingle), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "mh-sketches")
-    classes = sketch.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("r"))
+    classes = sketch.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("r")).where("r is not null")
     reps = stored(classes.select("k1", "k2", "n_shingles", "r.doc_id", "r.sig"), "mh-classes")
     unpack = F.pandas_udf(lambda s: pd.Series([np.frombuffer(x, np.uint32).astype(np.int64) for x in s], dtype=object), "array<bigint>")
     posted = stored(prefixes(reps.select(F.col("doc_id").alias("id"), unpack("sig").alias("coords"))), "mh-prefixes")
@@ -262,4 +262,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rep = rep.select("k1", "k2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(rep, ["k1", "k2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

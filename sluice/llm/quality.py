@@ -37,6 +37,7 @@ BAND, WITHIN = 9.0, 6.0
 #: A word counts at most so many tenfold improbabilities: one key or address doesn't make a text improbable.
 WORD_FLOOR = -12.0
 SYMBOLS = frozenset("#*$%&|<>")
+MANY_LANGS = 10_000
 START, END, MASK = 1, 2, (1 << BITS) - 1
 NO_LANG, ALL = "\0none", "\0all"
 #: Share of the model of all languages in a word's probability: texts that quote other languages stay probable.
@@ -301,6 +302,9 @@ def quality(docs: DataFrame, width: float = BAND) -> DataFrame:
     docs = docs.select("doc_id", "text", "lang")
     scored = stored(score(docs, train(docs)), "kn-scored")
     band = F.sqrt(F.pow("between", F.lit(2)) + F.pow("within", F.lit(2)) / F.greatest("n_words", F.lit(1)))
-    out = scored.join(bands(scored, width), "lang", "left").withColumns({"lower": F.col("centre") - band, "upper": F.col("centre") + band})
+    limits = stored(bands(scored, width), "kn-bands")
+    if limits.count() <= MANY_LANGS:  # a row a language; beyond that the join is the optimizer's
+        limits = F.broadcast(limits)
+    out = scored.join(limits, "lang", "left").withColumns({"lower": F.col("centre") - band, "upper": F.col("centre") + band})
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & inside).drop("centre", "between", "within", "reference", "word_sd").withColumn("lang", F.nullif("lang", F.lit(NO_LANG)))
