@@ -158,8 +158,6 @@ def features(blocks: list[Block]) -> list[list[str]]:
         low = t[:400].lower()
         f = [*path_features(b.path), "bias", f"words {bucket(words, (2, 5, 10, 20, 40, 80))}", f"link {bucket(b.link / len(t), (0.01, 0.3, 0.6, 0.9))}", f"end {t[-1] if t[-1] in '.!?:,' else 'x'}", f"commas {bucket(t.count(','), (1, 3, 8))}", f"place {bucket(k / n, (0.1, 0.5, 0.9))}"]
         f += ["hint " + h for h in HINTS if h in low]
-        if k == 0 or k == n - 1:
-            f.append("edge")
         out.append(f)
     return out
 
@@ -337,7 +335,7 @@ def labelled_pages(n: int = 360, seed: int = 11) -> list[tuple[str, list[tuple[s
                     parts.append(other(rng.choice(["ad", "aside", "notice"])))
             return "".join(parts)
 
-        top = [other(k) for k in rng.sample(["nav", "header", "notice", "ad", "form"], rng.randint(1, 4))]
+        top = [other(k) for k in rng.sample(["nav", "header", "notice", "ad", "form"], rng.randint(0, 4))]
         body = "".join(top)
         r = rng.random()
         inner = main()
@@ -349,7 +347,7 @@ def labelled_pages(n: int = 360, seed: int = 11) -> list[tuple[str, list[tuple[s
             body += open_close("main" if rng.random() < 0.5 else "div", None, open_close("article", None, inner))
         else:
             body += open_close(rng.choice(["div", "section"]), rng.choice(MAIN_NAMES), inner)
-        for k in rng.sample(["aside", "comment", "footer", "ad", "form", "notice", "nav"], rng.randint(1, 5)):
+        for k in rng.sample(["aside", "comment", "footer", "ad", "form", "notice", "nav"], rng.randint(0, 5)):
             body += other(k)
         out.append((f"<!DOCTYPE html><html><head><title>{words(4)}</title><script>var a='<p>';</script></head><body>{body}</body></html>", gold))
     return out

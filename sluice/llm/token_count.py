@@ -84,7 +84,7 @@ class PieceCounter:
                 if at < 0 or (at == 0 and x not in child[0]):
                     return -1
             at = nxt
-        while at:
+        while at > 0:
             n += pops[at]
             at = fail[at]
         return n if at == 0 else -1

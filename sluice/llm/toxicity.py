@@ -85,7 +85,7 @@ def segments(score: list[float], place: list[int], cost: float) -> list[tuple[fl
 
 
 def all_segments_plain(scores: list[float]) -> list[tuple[float, int, int]]:
-    """For tests: the best segment, then the same left and right of it."""
+    """For tests: the best segment (the shortest of equal ones), then the same left and right of it."""
 
     def cut(a: int, b: int) -> list[tuple[float, int, int]]:
         best = None
@@ -93,7 +93,7 @@ def all_segments_plain(scores: list[float]) -> list[tuple[float, int, int]]:
             s = 0.0
             for j in range(i, b):
                 s += scores[j]
-                if s > 0 and (best is None or s > best[0] + 1e-12):
+                if s > 0 and (best is None or s > best[0] + 1e-12 or (abs(s - best[0]) < 1e-12 and j - i < best[2] - best[1])):
                     best = s, i, j
         return [] if best is None else [*cut(a, best[1]), best, *cut(best[2] + 1, b)]
 
