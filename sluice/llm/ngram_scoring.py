@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sluice.llm.common import LOWER, chunks, crc_mod, ship, stored, texts_of, words
@@ -103,8 +103,8 @@ def _count_pairs(contexts_of):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = contexts_of()
         for pdf in batches:
-            for a in range(0, len(pdf), 2000):
-                ids, row = _flat(pdf.iloc[a : a + 2000])
+            for a in range(0, len(pdf), 5000):
+                ids, row = _flat(pdf.iloc[a : a + 5000])
                 if not len(ids):
                     continue
                 ctx = find(ids, row)
@@ -282,9 +282,12 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
             levels = Levels(lv.value)
             return lambda ids, row: levels.contexts(ids, row, k)
 
-        got = stored(seen.mapInPandas(_count_pairs(contexts_of), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), f"lm-pairs{k}")
-        s = got.agg(*[F.count_if(F.col("c") == j).alias(f"n{j}") for j in (1, 2)]).first()
-        kept = got.where(F.col("c") >= max(2.0, least)).orderBy("k").toPandas()  # at most 2^PARTS_LOG2 rows
+        # counts of counts are taken as the counts pass by, so that only the kept n-grams are written
+        tally = Observation()
+        got = seen.mapInPandas(_count_pairs(contexts_of), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+        got = got.observe(tally, *[F.count_if(F.col("c") == j).alias(f"n{j}") for j in (1, 2)]).where(F.col("c") >= max(2.0, least))
+        kept = stored(got, f"lm-grams{k}").orderBy("k").toPandas()  # at most 2^PARTS_LOG2 rows
+        s = tally.get
         ks, cs = kept["k"].to_numpy(np.int64), kept["c"].to_numpy(np.int64)
         if k > 2 and len(ks):
             # an n-gram needs its tail among the kept ones; it is as frequent, but the count of the first word's text end differs
