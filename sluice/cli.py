@@ -67,11 +67,10 @@ def main(argv: list[str] | None = None) -> int:
 
         write_sorted(spark, o.input, o.output, o.max_rows, o.gzip)
     elif o.cmd == "merge-csvs":
-        from sluice.functions.digest import merged_quantiles
         from sluice.operators.stats import merge_stats
         from sluice.sources.files import read_stats
 
-        sinks.write_stats(merge_stats(read_stats(spark, o.input), merged_quantiles).orderBy("elapsed", "id"), o.output, mode="error")
+        sinks.write_stats(merge_stats(read_stats(spark, o.input), with_quantiles=True).orderBy("elapsed", "id"), o.output, mode="error")
     elif o.cmd == "html":
         from sluice.operators.stats import html_chart
         from sluice.sources.files import read_stats

@@ -99,17 +99,6 @@ def digest_quantiles(centroids: str):
     return F.pandas_udf(run, "array<double>")(centroids)
 
 
-def merged_quantiles(centroids: str):
-    """The summary of a group's digests, given as 'mean weight;' texts: a grouped aggregate."""
-
-    def run(col: pd.Series) -> list:
-        pairs = [p.split() for t in col.dropna() for p in t.split(";") if p.strip()]
-        return summary(*compress(np.array([float(a) for a, _ in pairs]), np.array([float(b) for _, b in pairs])))
-
-    run.__annotations__ = {"col": pd.Series, "return": list}
-    return F.pandas_udf(run, "array<double>", F.PandasUDFType.GROUPED_AGG)(centroids)
-
-
 def kll_report(m: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Quantiles by the built-in mergeable sketch: bounded state, all in the JVM."""
     q = F.expr(f"kll_sketch_agg_double({value})")

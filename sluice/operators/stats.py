@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.digest import digest_quantiles, merge_by
+from sluice.functions.scalars import parse_centroids
+
 #: Quantiles and layout of a report.
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
 WINDOW_SECONDS = 10
@@ -71,25 +74,24 @@ def elapsed_bucket(ts: Column, first: Column) -> Column:
     return F.when(d % 10 == 0, d).otherwise(d + 10 - d % 10) + 10
 
 
-def merge_stats(rows: DataFrame, digest_merge=None) -> DataFrame:
+def merge_stats(rows: DataFrame, with_quantiles: bool = False) -> DataFrame:
     """Saved statistics of several hosts as one: buckets of ten seconds, threads added up, operations counted again and summed up.
 
-    rows: the statistics' columns. digest_merge combines the centroids of a bucket; without it the operations are added up and quantiles left out.
+    rows: the statistics' columns. with_quantiles merges the centroids of a bucket and gives mean and quantiles from them.
     """
     first = rows.agg(F.min("ts")).first()[0]
     b = rows.withColumn("bucket", elapsed_bucket(F.col("ts"), F.lit(first)))
-    aggs = [F.min("ts").alias("ts"), F.sum("threads").alias("threads"), F.sum("period_ops").alias("period_ops")]
-    if digest_merge is not None:
-        aggs.append(digest_merge("centroids").alias("q"))
-    g = b.groupBy("bucket", "id").agg(*aggs).withColumnRenamed("bucket", "elapsed")
+    g = b.groupBy("bucket", "id").agg(F.min("ts").alias("ts"), F.sum("threads").alias("threads"), F.sum("period_ops").alias("period_ops")).withColumnRenamed("bucket", "elapsed")
     running = Window.partitionBy("id").orderBy("elapsed").rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumn("tot_ops", F.sum("period_ops").over(running))
     g = g.withColumn("period_ops_s", F.expr("period_ops div 10")).withColumn("tot_ops_s", F.expr("tot_ops div elapsed"))
-    if digest_merge is None:
-        return g.select("ts", "elapsed", "id", "threads", "tot_ops", "tot_ops_s", "period_ops", "period_ops_s")
+    cols = ["ts", "elapsed", "id", "threads", "tot_ops", "tot_ops_s", "period_ops", "period_ops_s"]
+    if not with_quantiles:
+        return g.select(cols)
+    merged = merge_by(b.select(F.col("bucket").alias("elapsed"), "id", parse_centroids(F.col("centroids")).alias("centroids")), ["elapsed", "id"])
+    q = merged.select("elapsed", "id", digest_quantiles("centroids").alias("q"))
     names = ["mean_ms", "p50_ms", "p90_ms", "p95_ms", "p99_ms", "max_ms"]
-    q = [F.round(F.col("q")[i] * 1000, 2).alias(n) for i, n in enumerate(names)]
-    return g.select("ts", "elapsed", "id", "threads", "tot_ops", "tot_ops_s", "period_ops", "period_ops_s", *q, F.lit(None).cast("string").alias("centroids"))
+    return g.join(q, ["elapsed", "id"], "left").select(*cols, *[F.round(F.col("q")[i] * 1000, 2).alias(n) for i, n in enumerate(names)], F.lit(None).cast("string").alias("centroids"))
 
 
 def latency_histogram(m: DataFrame, bounds: list[int]) -> DataFrame:

@@ -112,7 +112,7 @@ def test_digest_merge_of_saved_statistics(spark):
             text = "".join(f"{a} {b};" for a, b in zip(m, w, strict=True))
             rows.append((1000 + 10 * t, 10 * t, "f", 4, 0, 0, 500, 50, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, text))
     df = spark.createDataFrame(rows, stats.STATS_SCHEMA)
-    got = stats.merge_stats(df, digest.merged_quantiles).orderBy("elapsed").toPandas()
+    got = stats.merge_stats(df, with_quantiles=True).orderBy("elapsed").toPandas()
     assert got["threads"].tolist() == [8, 8, 8] and got["tot_ops"].tolist() == [1000, 2000, 3000]
     for t in range(3):
         assert got["p90_ms"][t] == pytest.approx(1000 * np.quantile(all_values[t], 0.9), rel=0.02)
