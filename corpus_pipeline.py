@@ -11,14 +11,13 @@ from sluice.llm.minhash import near_duplicates
 from sluice.llm.mixing import mix
 from sluice.llm.packing import pack_documents
 from sluice.llm.queries import encoder_paths
-from sluice.llm.toxicity import score, train
+from sluice.llm.toxicity import PREDICT, score_column, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents predicted toxic."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    bad = score(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return docs.where(score_column(spark, model) < PREDICT)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

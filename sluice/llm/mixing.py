@@ -77,26 +77,40 @@ def scale_for(cells: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> f
     return scale
 
 
-def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight (of its cell), probability and sampled of every document."""
-    docs_f = features(docs)
+def cell_probabilities(docs_f: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE) -> DataFrame:
+    """DIMS, weight and probability of every cell with tokens."""
     cells = stored(docs_f.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "mix-tokens")
     goal = {d: default_targets(cells, d) for d in DIMS} | (targets or {})
     raked = rake(cells, goal)
     whole = raked.agg(F.sum("tokens")).first()[0] or 1
     ratio = stored(raked.select(*DIMS, "tokens", "weight", (F.col("weight") / (F.col("tokens") / F.lit(whole))).alias("ratio")), "mix-ratio")
     p = F.least(F.lit(1.0), F.lit(scale_for(ratio, share)) * F.col("ratio"))
-    table = ratio.select(*DIMS, "weight", p.alias("probability"))
+    return stored(ratio.select(*DIMS, "weight", p.alias("probability")), "mix-probabilities")
+
+
+def drawn(doc_id: Column, probability: Column) -> Column:
+    """Whether the id's hash, as a number from 0 to 1, is under the probability; null ids always are."""
+    # 13 hexadecimal digits of the md5
+    u = F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    return F.coalesce(u < probability, F.lit(True))
+
+
+def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, weight (of its cell), probability and sampled of every document."""
+    docs_f = features(docs)
+    table = cell_probabilities(docs_f, targets, share)
     rows = docs_f.join(table, list(DIMS), "left").withColumn("probability", F.coalesce("probability", F.lit(1.0))).withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    # 13 hexadecimal digits of the id's md5 as a number from 0 to 1
-    draw = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
-    return rows.withColumn("sampled", F.coalesce(draw < F.col("probability"), F.lit(True)))
+    return rows.withColumn("sampled", drawn(F.col("doc_id"), F.col("probability")))
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE) -> DataFrame:
-    """The documents that are drawn, with their columns."""
-    drawn = calibrated(docs, targets, share).where("sampled").select("doc_id").distinct()
-    return docs.join(drawn, "doc_id", "left_semi")
+    """The documents that are drawn, with their columns. Texts move only if the table of cells is too large for the optimizer to broadcast."""
+    table = cell_probabilities(features(docs), targets, share)
+    table = table.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMS], F.col("probability").alias("_mix_p"))
+    keys = {"_k_source": F.coalesce("source", F.lit("")), "_k_lang": F.coalesce("lang", F.lit("")), "_k_topic": topic_of(F.coalesce("text", F.lit("")))}
+    same = [F.col(f"_k_{d}") == F.col(f"_mix_{d}") for d in DIMS]
+    rows = docs.withColumns(keys).join(table, same, "left")
+    return rows.where(drawn(F.col("doc_id"), F.coalesce("_mix_p", F.lit(1.0)))).select(docs.columns)
 
 
 def _oracle() -> str:

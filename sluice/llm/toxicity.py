@@ -271,6 +271,19 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= PREDICT).cast("int")).withColumn("n_passages", F.size("passages"))
 
 
+def score_column(spark, model: ToxicModel, text: str = "text"):
+    """The score as a column of the text, for filters that need no join."""
+    ship(spark)
+    held = spark.sparkContext.broadcast((model.weights, model.lam, model.coef, model.rate))
+    token = held._jbroadcast.id()
+
+    def run(col: pd.Series) -> pd.Series:
+        own = _model(token, held.value)
+        return pd.Series([own.score(t if isinstance(t, str) else "") for t in col], dtype=float)
+
+    return F.pandas_udf(run, "double")(text)
+
+
 _MODELS: dict[int, ToxicModel] = {}
 
 
