@@ -49,8 +49,11 @@ def half_keys():
     return F.array(*out)
 
 
-def variant_keys(w: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(key, role) of a line: itself as FULL, and each one-word deletion as DEL (by words left) and SUB (by words left and place)."""
+def variant_keys(w: list[str], head: bool = True, tail: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(key, role) of a line: itself as FULL, and each one-word deletion as DEL (by words left) and SUB (by words left and place).
+
+    head: the edit may lie behind a shared first half; tail: before a shared last half. Other places can't be edited.
+    """
     n = len(w)
     x = np.fromiter(map(hash_word, w), np.uint64, n)
     inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, INVERSE)]))
@@ -61,6 +64,9 @@ def variant_keys(w: list[str]) -> tuple[np.ndarray, np.ndarray]:
     gone = mix64(left + mix64(np.array([size - np.uint64(1)], np.uint64)))
     full = mix64(run[n:] + mix64(np.array([size], np.uint64)))
     place = mix64(gone ^ mix64(np.arange(n, dtype=np.uint64) + np.uint64(1 << 40)))
+    at = np.arange(n)
+    some = (head & (at >= (n - 1) // 2)) | (tail & (at <= n // 2))
+    gone, place, n = gone[some], place[some], int(some.sum())
     keys = np.concatenate([full, np.unique(gone), place])
     roles = np.repeat([FULL, DEL, SUB], [1, len(keys) - 1 - n, n])
     return keys.astype(np.int64), roles
@@ -80,10 +86,10 @@ def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for a in range(0, len(pdf), 2000):
             part = pdf.iloc[a : a + 2000]
-            got = [variant_keys(list(w)) for w in part["w"]]
+            got = [variant_keys(list(w), head, tail) for w, head, tail in zip(part["w"], part["head"], part["tail"], strict=True)]
             sizes = [len(k) for k, _ in got]
             if got:
-                yield pd.DataFrame({"key": np.concatenate([k for k, _ in got]), "role": np.concatenate([r for _, r in got]), "h": np.repeat(part["h"].to_numpy(), sizes), "g": np.repeat(part["g"].to_numpy(), sizes), "doc_id": np.repeat(part["doc_id"].to_numpy(), sizes), "line_no": np.repeat(part["line_no"].to_numpy(), sizes)})
+                yield pd.DataFrame({"key": np.concatenate([k for k, _ in got]), "role": np.concatenate([r for _, r in got]), "h": np.repeat(part["h"].to_numpy(), sizes), "doc_id": np.repeat(part["doc_id"].to_numpy(), sizes), "line_no": np.repeat(part["line_no"].to_numpy(), sizes)})
 
 
 def earliest(docs: DataFrame) -> DataFrame:
@@ -93,25 +99,25 @@ def earliest(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "line_no")
     classes = lines_of(docs).select("h", "g", "doc_id", "line_no", half_keys().alias("halves")).groupBy("h", "g").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     classes = stored(classes, "line-classes")
-    halves = classes.select("h", "g", "place", F.explode("halves").alias("half"))
+    halves = classes.select("h", "g", "place", F.posexplode("halves").alias("k", "half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
-    near = halves.join(shared, "half", "left_semi").groupBy("h", "g").agg(F.first("place").alias("place"))
-    wanted = near.groupBy("place.doc_id").agg(F.collect_list(F.struct("place.line_no", "h", "g")).alias("wanted"))  # a document's lines
+    near = halves.join(shared, "half", "left_semi").groupBy("h", "g").agg(F.first("place").alias("place"), F.max(F.col("k") % 2 == 0).alias("head"), F.max(F.col("k") % 2 == 1).alias("tail"))
+    wanted = near.groupBy("place.doc_id").agg(F.collect_list(F.struct("place.line_no", "h", "g", "head", "tail")).alias("wanted"))  # a document's lines
     found = docs.select("doc_id", F.split("text", "\n").alias("parts")).join(wanted, "doc_id").select("doc_id", F.explode("wanted").alias("x"), "parts")
-    found = found.select("doc_id", "x.line_no", "x.h", "x.g", F.regexp_extract_all(F.element_at("parts", F.col("x.line_no") + 1), F.lit(f"({WORD_SQL})"), 1).alias("w"))
+    found = found.select("doc_id", "x.line_no", "x.h", "x.g", "x.head", "x.tail", F.regexp_extract_all(F.element_at("parts", F.col("x.line_no") + 1), F.lit(f"({WORD_SQL})"), 1).alias("w"))
     lines = stored(found.dropDuplicates(["h", "g"]), "line-near")
     # one row a line, spread evenly: long lines make many variants
-    spread = lines.select("h", "g", "doc_id", "line_no", "w").repartition(F.xxhash64("h", "g"))
-    variants = stored(spread.mapInPandas(_variants, "key long, role int, h long, g long, doc_id long, line_no int"), "line-variants")
-    first = F.struct("doc_id", "line_no", "h", "g")
+    spread = lines.select("h", "doc_id", "line_no", "head", "tail", "w").repartition(F.xxhash64("h", "g"))
+    variants = stored(spread.mapInPandas(_variants, "key long, role int, h long, doc_id long, line_no int"), "line-variants")
+    first = F.struct("doc_id", "line_no", "h")
     best = variants.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, first)).alias(f"r{r}") for r in (SUB, FULL, DEL)], F.count("*").alias("n")).where("n > 1").drop("n")
     partner = F.when(F.col("role") == SUB, F.col(f"r{SUB}")).when(F.col("role") == FULL, F.col(f"r{DEL}")).otherwise(F.col(f"r{FULL}"))
-    met = variants.join(best, "key").select("h", "g", "doc_id", "line_no", partner.alias("p")).where(F.struct("p.doc_id", "p.line_no") < F.struct("doc_id", "line_no"))
-    met = met.groupBy("h", "g").agg(F.min("p").alias("p"))
+    met = variants.join(best, "key").select("h", "doc_id", "line_no", partner.alias("p")).where(F.struct("p.doc_id", "p.line_no") < F.struct("doc_id", "line_no"))
+    met = met.groupBy("doc_id", "line_no", "h").agg(F.min("p").alias("p"))
     verify = F.pandas_udf(lambda a, b: pd.Series([word_distance_at_most_one(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype=bool), "boolean")
-    own = lines.select("h", "g", "w")
-    other = lines.select(F.col("h").alias("ph"), F.col("g").alias("pg"), F.col("w").alias("pw"))
-    sure = met.join(own, ["h", "g"]).select("h", "g", "w", "p", F.col("p.h").alias("ph"), F.col("p.g").alias("pg")).join(other, ["ph", "pg"]).where(verify("w", "pw"))
+    own = lines.select("doc_id", "line_no", "h", "g", "w")
+    other = lines.select(F.struct("doc_id", "line_no", "h").alias("p"), F.col("w").alias("pw"))
+    sure = met.join(own, ["doc_id", "line_no", "h"]).select("h", "g", "w", "p").join(other, "p").where(verify("w", "pw"))
     sure = sure.select("h", "g", F.struct("p.doc_id", "p.line_no").alias("near_place"))
     out = classes.select("h", "g", "place", "n").join(sure, ["h", "g"], "left").where("n > 1 or near_place is not null")
     return stored(out.select("h", "g", F.least("place", F.coalesce("near_place", "place")).alias("place")), "line-earliest")
