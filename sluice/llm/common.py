@@ -130,22 +130,43 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[keep], ids[root[keep]]
 
 
+#: Links that one task reduces to a forest at once.
+FOREST_LINKS = 400_000
+
+
 def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, count = [], 0
+
+    def solve() -> pd.DataFrame:
+        a, b = forest(*(np.concatenate([p[c].to_numpy(np.int64) for p in held]) for c in ("a", "b")))
+        return pd.DataFrame({"a": a, "b": b})
+
     for pdf in batches:
-        a, b = forest(pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64))
-        yield pd.DataFrame({"a": a, "b": b})
+        held.append(pdf)
+        count += len(pdf)
+        if count >= FOREST_LINKS:
+            held, count = [solve()], 0
+            yield held.pop()
+    if held:
+        yield solve()
 
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(id, component_id) of every id in the links (a, b); component_id is the smallest id reachable.
 
-    Labels fall to the smallest neighbour's label and then to that label's own label, until their sum stays;
+    Tasks first reduce their links to forests, then so many of these as one task may hold to one forest. If that is one
+    task's work, it is done. Else labels fall to the smallest neighbour's label and then to that label's own label, until their sum stays;
     each round is one aggregate with map-side combine and two equi-joins, written to the shared folder.
     """
     spark = edges.sparkSession
     ship(spark)
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    thin = stored(edges.mapInPandas(_local_forest, "a long, b long").distinct(), f"{tag}-links")
+    some = stored(edges.mapInPandas(_local_forest, "a long, b long").distinct(), f"{tag}-links")
+    tasks = -(-some.count() // FOREST_LINKS)
+    thin = stored(some.coalesce(max(1, tasks)).mapInPandas(_local_forest, "a long, b long"), f"{tag}-forest")
+    if tasks <= 1:
+        # one forest: each id with its root, and the roots
+        return thin.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(thin.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
     both = thin.unionByName(thin.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("c")), f"{tag}-0")
     total = F.sum(F.col("c").cast("decimal(38,0)"))

@@ -252,11 +252,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = stored(classes.select("k1", "k2", "n_shingles", "r.doc_id", "r.sig"), "mh-classes")
     unpack = F.pandas_udf(lambda s: pd.Series([np.frombuffer(x, np.uint32).astype(np.int64) for x in s], dtype=object), "array<bigint>")
     posted = stored(prefixes(reps.select(F.col("doc_id").alias("id"), unpack("sig").alias("coords"))), "mh-prefixes")
+    # members grow with the input, so they are never broadcast
     sigs = reps.select(F.col("doc_id").alias("id"), F.col("sig").alias("payload"))
-    pairs = linked(posted, lambda t: t.join(sigs, "id"), same_signature, "mh-lists", small=True)
+    pairs = linked(posted, lambda t: t.hint("merge").join(sigs, "id"), same_signature, "mh-lists", small=True)
     clusters = components(pairs, "mh-clusters")
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("payload"))
-    sure = linked(clusters.select(F.col("component_id").alias("group"), "id"), lambda t: t.join(texts, "id"), same_text(shingle, percent), "mh-sets")
+    sure = linked(clusters.select(F.col("component_id").alias("group"), "id"), lambda t: t.hint("merge").join(texts, "id"), same_text(shingle, percent), "mh-sets")
     found = components(sure, "mh-components")
     rep = reps.select("k1", "k2", "n_shingles", F.col("doc_id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
     rep = rep.select("k1", "k2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
