@@ -58,9 +58,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
         for dim in dims:
             margin = rows.groupBy(dim).agg(F.sum("weight").alias("m")).join(targets[dim], dim).select(dim, (F.col("target") / F.col("m")).alias("f"))
             rows = rows.join(margin, dim, "left").select(*dims, "tokens", (F.col("weight") * F.coalesce("f", F.lit(0.0))).alias("weight"))
-        if k < sweeps - 1 and k % 2:
-            rows = stored(rows, f"mix-sweep{k}")
-    return stored(rows, "mix-raked")
+            # a step reads the cells twice, so unwritten steps would double the plan each time
+            rows = stored(rows, f"mix-{k}-{dim}")
+    return rows
 
 
 def scale_for(cells: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> float:
