@@ -1,14 +1,14 @@
-"""Scoring texts with a weighted backoff automaton of word n-grams.
+"""Scoring texts with a backoff model of word n-grams that grows with the training texts.
 
-Spark counts the words of all training texts, then the n-grams of frequent words. An n-gram stays if its count is at
-least the number of training tokens over 2^PARTS_LOG2, so each order has at most that many at any size of the input; this bounds the broadcast
-automaton. Probabilities are interpolated with absolute discounts; what cut n-grams had goes to the backoff weights, so
+Every word of the training texts counts, and every longer n-gram that they have at least LEAST times; no table is cut by the size of the
+input and none is broadcast. Probabilities are interpolated with absolute discounts; what rarer n-grams had goes to the backoff weights, so
 the words after a context sum to one.
 
-States are contexts. An arc (state, word) leads to the longest known context of the words so far; where a state has no arc for a word, its
-failure arc leads to the next shorter context at the cost of its backoff weight. One traversal from left to right carries the
-state and adds up log-probabilities. A word that is too rare for an arc falls to the empty context; its own discounted
-frequency is looked up in the table of all counts, by a join, and added. Words that no training text has share the mass that discounting frees.
+Texts are taken in batches of about CHUNK_CHARS characters. A batch asks once for each of its n-grams, by a 64-bit hash of the n-gram and one
+of its context. One shuffle by these hashes sums the batches' counts; what follows a context is summed by the context's hash.
+The answers (count of the n-gram, counts after it) go back to the batch, so a task holds the part of the model that its batch needs.
+Each token then takes the longest n-gram with an answer; where there is none, the context's backoff weight and the next shorter one.
+Words that no training text has share the mass that discounting frees.
 
 Input cases: a null text is empty, whose only token is the end; equal rows get equal scores, each from its own row; with no
 training text every word is unknown with probability one over one; an empty table gives an empty result.
@@ -17,327 +17,173 @@ training text every word is unknown with probability one over one; an empty tabl
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import LOWER, chunks, crc_mod, ship, stored, texts_of, words
+from sluice.llm.common import LOWER, chunks, crc_mod, mix64, ship, stored, texts_of, words
 
 ORDER = 3
-PARTS_LOG2 = 20
+#: Occurrences from which on an n-gram of two or more words has a probability of its own, at every size of the input.
+LEAST = 2
 #: The token that ends each text; no word holds a space.
 END = " end"
-UNKNOWN = -1
-EMPTY = 0
+NONE = -1
 D_MIN = 0.05
+#: An n-gram's place in its batch is its order, shifted by so many bits, and its number.
+PLACE = 40
 
 
 def tokens_of(text: str) -> list[str]:
     return [*words(text.translate(LOWER)), END]
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: Counter = Counter()
+def word_hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
-    def rows() -> pd.DataFrame:
-        out = pd.DataFrame({"w": list(seen), "c": np.fromiter(seen.values(), np.int64, len(seen))})
-        seen.clear()
-        return out
 
-    for pdf in batches:
-        for t in texts_of(pdf):
-            seen.update(tokens_of(t))
-            if len(seen) > 500_000:
-                yield rows()
-    if seen:
-        yield rows()
-
-
-_VOCAB: dict[int, dict[str, int]] = {}
-
-
-def _vocab(token: int, held) -> dict[str, int]:
-    if token not in _VOCAB:
-        _VOCAB.clear()
-        _VOCAB[token] = {w: i for i, w in enumerate(held.value)}
-    return _VOCAB[token]
-
-
-def encode(docs: DataFrame, vocab: list[str]) -> DataFrame:
-    """uid, doc_id, held_out, ids (of each token, UNKNOWN for a rare word) and rare (the rare words in order)."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(vocab)
-    token = held._jbroadcast.id()
+def encode(docs: DataFrame) -> DataFrame:
+    """b (the batch), doc_id, held_out, ids (of each token, numbers in the batch); one row of each batch has types, the hash of each number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = _vocab(token, held).get
+        number = count(TaskContext.get().partitionId() << 32)
         for pdf in batches:
             texts = texts_of(pdf)
             for at in chunks(texts):
-                ids, rare = [], []
-                for t in texts[at]:
-                    w = tokens_of(t)
-                    x = np.fromiter([get(k, UNKNOWN) for k in w], np.int32, len(w))
-                    ids.append(x)
-                    rare.append([w[i] for i in np.flatnonzero(x == UNKNOWN)])
-                yield pd.DataFrame({"uid": pdf["uid"].to_numpy()[at], "doc_id": pdf["doc_id"].to_numpy()[at], "held_out": pdf["held_out"].to_numpy()[at], "ids": ids, "rare": rare})
+                table: dict[str, int] = defaultdict(count().__next__)
+                ids = [np.fromiter(map(table.__getitem__, tokens_of(t)), np.int32) for t in texts[at]]
+                types = [None] * len(ids)
+                types[0] = np.fromiter(map(word_hash, table), np.uint64, len(table)).view(np.int64)
+                yield pd.DataFrame({"b": next(number), "doc_id": pdf["doc_id"].to_numpy()[at], "held_out": pdf["held_out"].to_numpy()[at], "ids": ids, "types": types})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text")
-    return stored(rows.mapInPandas(run, "uid long, doc_id long, held_out boolean, ids array<int>, rare array<string>"), "lm-ids")
+    # ids as strings, since pandas has no whole numbers beside nulls
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "held_out", "text")
+    return stored(rows.mapInPandas(run, "b long, doc_id string, held_out boolean, ids array<int>, types array<long>"), "lm-ids")
 
 
 def _flat(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the batch one after the other, and the row of each."""
     arrays = [np.asarray(x, np.int64) for x in pdf["ids"]]
     sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
-    return np.concatenate(arrays) if arrays else np.empty(0, np.int64), np.repeat(np.arange(len(arrays)), sizes)
-
-
-def _count_pairs(contexts_of):
-    """Counts of (context state, word) pairs: contexts_of gives the state before each token, UNKNOWN where none of full length is known."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = contexts_of()
-        for pdf in batches:
-            for a in range(0, len(pdf), 5000):
-                ids, row = _flat(pdf.iloc[a : a + 5000])
-                if not len(ids):
-                    continue
-                ctx = find(ids, row)
-                ok = (ctx >= 0) & (ids >= 0)
-                key, c = np.unique((ctx[ok] << np.int64(31)) | ids[ok], return_counts=True)
-                yield pd.DataFrame({"k": key, "c": c.astype(np.int64)})
+    return np.concatenate(arrays), np.repeat(np.arange(len(arrays)), sizes)
+
+
+def before(at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The value of the token before each, NONE at a text's start."""
+    out = np.concatenate([[NONE], at[:-1]])
+    out[np.concatenate([[True], row[1:] != row[:-1]])] = NONE
+    return out
+
+
+def places(ids: np.ndarray, row: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order from 2: its n-grams in the batch, sorted (number of the context << 32 | word), and the number of the one that ends at each token."""
+    at = ids
+    for _ in range(2, order + 1):
+        ctx = before(at, row)
+        ok = ctx >= 0
+        grams, inv = np.unique((ctx[ok] << np.int64(32)) | ids[ok], return_inverse=True)
+        at = np.full(len(ids), NONE, np.int64)
+        at[ok] = inv
+        yield grams, at
+
+
+def _ask(order: int):
+    """A row for each n-gram of a batch: k and x, the hashes of it and its context, its place, and m, how often training texts have it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = pdf["b"].iloc[0]
+        ids, row = _flat(pdf)
+        types = np.asarray(next(t for t in pdf["types"] if t is not None), np.int64).view(np.uint64)
+        learn = np.array([not (isinstance(h, (bool, np.bool_)) and h) for h in pdf["held_out"]])[row]
+        k = mix64(types)
+        out = [(k, np.zeros(len(k), np.uint64), np.bincount(ids[learn], minlength=len(k)))]
+        for grams, at in places(ids, row, order):
+            x = k[grams >> 32]
+            k = mix64(x * np.uint64(0x9E3779B97F4A7C15) + mix64(types[grams & 0xFFFFFFFF] + np.uint64(1)))
+            out.append((k, x, np.bincount(at[learn & (at >= 0)], minlength=len(k))))
+        place = [(n << PLACE) + np.arange(len(o[0])) for n, o in enumerate(out, 1)]
+        k, x, m = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pd.DataFrame({"b": b, "k": k.view(np.int64), "x": x.view(np.int64), "place": np.concatenate(place), "m": m})
 
     return run
 
 
-class Levels:
-    """Sorted keys (state of the context before, word) of each order; a place in them is a state of that order."""
-
-    def __init__(self, keys: list[np.ndarray]):
-        self.keys = keys
-
-    def states(self, ids: np.ndarray, row: np.ndarray, order: int) -> np.ndarray:
-        """For each token the place of the order-gram that ends with it, UNKNOWN if it isn't kept."""
-        at = ids
-        for n in range(2, order + 1):
-            before = np.concatenate([[UNKNOWN], at[:-1]])
-            before[np.concatenate([[True], row[1:] != row[:-1]])] = UNKNOWN
-            at = self.find(n, before, ids)
-        return at
-
-    def find(self, n: int, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        keys = self.keys[n - 2]
-        if not len(keys):
-            return np.full(len(ids), UNKNOWN, np.int64)
-        want = (before << np.int64(31)) | ids
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        return np.where((before >= 0) & (ids >= 0) & (keys[at] == want), at, UNKNOWN)
-
-    def contexts(self, ids: np.ndarray, row: np.ndarray, order: int) -> np.ndarray:
-        """The state of the order-1 words before each token."""
-        at = self.states(ids, row, order - 1)
-        before = np.concatenate([[UNKNOWN], at[:-1]])
-        before[np.concatenate([[True], row[1:] != row[:-1]])] = UNKNOWN
-        return before
-
-
 def discount(n1: float, n2: float) -> float:
     return min(max(n1 / (n1 + 2 * n2), D_MIN), 0.95) if n1 else 0.5
 
 
-class Automaton:
-    """arcs: (state << 32 | word) to (log10 probability, next state); fail: (backoff weight, state) of each state."""
-
-    def __init__(self, arcs: dict[int, tuple[float, int]], fail: list[tuple[float, int]]):
-        self.arcs, self.fail = arcs, fail
-
-    def traverse(self, ids: list[int]) -> float:
-        arcs, fail = self.arcs, self.fail
-        state, total = EMPTY, 0.0
-        for w in ids:
-            if w < 0:
-                while state:
-                    cost, state = fail[state]
-                    total += cost
-                continue
-            while (arc := arcs.get(state << 32 | w)) is None:
-                cost, state = fail[state]
-                total += cost
-            total += arc[0]
-            state = arc[1]
-        return total
-
-
-class Model:
-    """uni: log10 probability of each frequent word; levels: per order from 2 keys, counts; all that the automaton is built from."""
-
-    def __init__(self, uni: np.ndarray, freq: np.ndarray, keys: list[np.ndarray], counts: list[np.ndarray], d: list[float]):
-        self.uni, self.freq, self.keys, self.counts, self.d = uni, freq, keys, counts, d
-
-    def automaton(self) -> Automaton:
-        """States: 0 is the empty context, then the words, then the kept n-grams of each order under the last."""
-        v = len(self.uni)
-        prob = [10.0 ** self.uni]
-        first = [1]  # the first state of each order
-        total = [self.freq.astype(float)]
-        back = []
-        ends = [np.arange(v)]
-        suffix = [np.full(v, EMPTY, np.int64)]
-        for keys, c, d in zip(self.keys, self.counts, self.d, strict=True):
-            n = len(prob) + 1
-            ctx, w = keys >> 31, keys & ((1 << 31) - 1)
-            share = np.maximum(c - d, 0) / total[-1][ctx]
-            lam = np.maximum(1 - np.bincount(ctx, weights=share, minlength=len(total[-1])), 1e-9)
-            back.append(np.log10(lam))
-            # the same n-gram without its first word, one order down, carries the lower probability; it may have been cut, then its own backoff applies
-            low = self._lower(n, ctx, w, prob, back, suffix)
-            prob.append(share + lam[ctx] * low)
-            first.append(first[-1] + len(total[-1]))
-            total.append(c.astype(float))
-            ends.append(w)
-            suffix.append(self._shorter(n, ctx, w, first, suffix))
-        top = len(prob)  # states are n-grams of orders under it
-        fail: list[tuple[float, int]] = [(0.0, EMPTY)]
-        for n in range(1, top):
-            fail += zip(back[n - 1].tolist(), suffix[n - 1].tolist(), strict=True)
-        arcs: dict[int, tuple[float, int]] = {}
-        for n in range(1, top + 1):
-            if n == 1:
-                state = np.zeros(v, np.int64)
-                w = np.arange(v)
-            else:
-                state = first[n - 2] + (self.keys[n - 2] >> 31)
-                w = ends[n - 1]
-            nxt = first[n - 1] + np.arange(len(w)) if n < top else suffix[n - 1]
-            if top == 1:
-                nxt = np.zeros(v, np.int64)
-            arcs.update(zip(((state << 32) | w).tolist(), zip(np.log10(prob[n - 1]).tolist(), nxt.tolist(), strict=True), strict=True))
-        return Automaton(arcs, fail)
-
-    def _tail(self, n: int, at: np.ndarray) -> np.ndarray:
-        """Place of an n-gram without its first word among the (n-1)-grams; kept always, as it is at least as frequent."""
-        if n == 2:
-            return self.keys[0][at] & ((1 << 31) - 1)
-        keys = self.keys[n - 2][at]
-        before = self._tail(n - 1, keys >> 31)
-        want = (before << np.int64(31)) | (keys & ((1 << 31) - 1))
-        return np.searchsorted(self.keys[n - 3], want)
-
-    def _lower(self, n: int, ctx: np.ndarray, w: np.ndarray, prob: list, back: list, suffix: list) -> np.ndarray:
-        """Probability of w after the context without its first word."""
-        if n == 2:
-            return prob[0][w]
-        before = self._tail(n - 1, ctx)
-        want = (before << np.int64(31)) | w
-        return prob[n - 2][np.searchsorted(self.keys[n - 3], want)]
-
-    def _shorter(self, n: int, ctx: np.ndarray, w: np.ndarray, first: list, suffix: list) -> np.ndarray:
-        """State of an n-gram without its first word."""
-        if n == 2:
-            return first[0] + w
-        want = (self._tail(n - 1, ctx) << np.int64(31)) | w
-        return first[n - 2] + np.searchsorted(self.keys[n - 3], want)
-
-
-_BUILT: dict[int, Automaton] = {}
-
-
-def _built(token: int, held) -> Automaton:
-    if token not in _BUILT:
-        _BUILT.clear()
-        _BUILT[token] = Model(*held.value).automaton()
-    return _BUILT[token]
+def answers(coded: DataFrame, order: int) -> tuple[DataFrame, dict[str, int]]:
+    """b, place, c (count), s and t (sum and number of the counts after it) of the n-grams that the model has; counts of counts of each order."""
+    asked = coded.groupBy("b").applyInPandas(_ask(order), "b long, k long, x long, place long, m long")
+    # a batch asks once for a hash, so a hash has at most as many rows as there are batches
+    same = Window.partitionBy("k")
+    n, c = F.col("n"), F.col("c")
+    asked = asked.select("b", "k", "x", "place", F.shiftright("place", PLACE).alias("n"), F.sum("m").over(same).alias("c"), (F.col("b") == F.min("b").over(same)).alias("one"))
+    tally = Observation()
+    kinds = [F.count_if(F.col("one") & (n == i) & (c == j)).alias(f"n{i}_{j}") for i in range(1, order + 1) for j in (1, 2)]
+    word = F.col("one") & (n == 1)
+    asked = asked.observe(tally, *kinds, F.sum(F.when(word, c)).alias("tokens"), F.count_if(word & (c > 0)).alias("words"))
+    # contexts keep their hash, and one row of each n-gram that of its context
+    has = asked.where(c >= F.when(n == 1, F.lit(1)).otherwise(F.lit(LEAST)))
+    has = stored(has.select("b", "place", "c", F.when(n < order, F.col("k")).alias("k"), F.when(F.col("one") & (n > 1), F.col("x")).alias("x")), "lm-counts")
+    after = has.where("x is not null").groupBy(F.col("x").alias("k")).agg(F.sum("c").alias("s"), F.count("*").alias("t"))
+    rows = has.where("k is not null").select("b", "place", "c", "k").join(after, "k", "left").select("b", "place", "c", "s", "t")
+    longest = has.where("k is null").select("b", "place", "c", F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("t"))
+    return rows.unionByName(longest), tally.get
 
 
 def score_documents(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; learnt from those that held_out is false for."""
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
-    train = docs.where(~F.col("held_out") | F.col("held_out").isNull())
-    counts = stored(train.select("text").mapInPandas(_count_words, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")), "lm-words")
-    stat = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2)]).first()
-    n, v = stat["n"] or 0, stat["v"]
-    d1 = discount(stat["n1"], stat["n2"])
-    least = max(1.0, n / (1 << PARTS_LOG2))
-    top = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "w").toPandas()  # at most 2^PARTS_LOG2 rows
-    vocab = top["w"].tolist()
-    freq = top["c"].to_numpy(np.int64)
-    uni = np.log10((freq - d1) / max(n, 1)) if n else np.empty(0)
-    unknown = math.log10(d1 * v / n) if n else 0.0
-    coded = encode(docs, vocab)
-    keys: list[np.ndarray] = []
-    tallies: list[np.ndarray] = []
-    ds: list[float] = []
-    seen = coded.where(~F.col("held_out") | F.col("held_out").isNull()).select("ids")
-    for k in range(2, order + 1):
-        lv = spark.sparkContext.broadcast(list(keys))
-
-        def contexts_of(lv=lv, k=k):
-            levels = Levels(lv.value)
-            return lambda ids, row: levels.contexts(ids, row, k)
-
-        # counts of counts are taken as the counts pass by, so that only the kept n-grams are written
-        tally = Observation()
-        got = seen.mapInPandas(_count_pairs(contexts_of), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-        got = got.observe(tally, *[F.count_if(F.col("c") == j).alias(f"n{j}") for j in (1, 2)]).where(F.col("c") >= max(2.0, least))
-        kept = stored(got, f"lm-grams{k}").orderBy("k").toPandas()  # at most 2^PARTS_LOG2 rows
-        s = tally.get
-        ks, cs = kept["k"].to_numpy(np.int64), kept["c"].to_numpy(np.int64)
-        if k > 2 and len(ks):
-            # an n-gram needs its tail among the kept ones; it is as frequent, but the count of the first word's text end differs
-            levels = Levels(keys)
-            ok = _tails_kept(levels, ks, k)
-            ks, cs = ks[ok], cs[ok]
-        keys.append(ks)
-        tallies.append(cs)
-        ds.append(discount(s["n1"], s["n2"]))
-    held = spark.sparkContext.broadcast((uni, freq, keys, tallies, ds))
-    token = held._jbroadcast.id()
-    hot = spark.sparkContext.broadcast(np.log10(freq + 1.0))
+    ship(docs.sparkSession)
+    coded = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out")))
+    rows, stat = answers(coded, order)
+    n, v = stat["tokens"] or 0, stat["words"]
+    ds = [discount(stat[f"n{k}_1"], stat[f"n{k}_2"]) for k in range(1, order + 1)]
+    unknown = math.log10(ds[0] * v / n) if n else 0.0
     per = math.log10(n + v + 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        auto, known = _built(token, held), hot.value
-        for pdf in batches:
-            base, score, size, rare = [], [], [], []
-            for x in pdf["ids"]:
-                x = np.asarray(x)
-                own = x[x >= 0]
-                base.append(float(known[own].sum()))
-                score.append(auto.traverse(x.tolist()))
-                size.append(len(x))
-                rare.append(len(x) - len(own))
-            yield pd.DataFrame({"uid": pdf["uid"], "doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "n_tokens": size, "n_rare": rare, "b": base, "s": score})
-
-    part = coded.select("uid", "doc_id", "held_out", "ids").mapInPandas(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_rare long, b double, s double")
-    words_of = coded.select("uid", F.explode("rare").alias("w")).groupBy("uid", "w").agg(F.count("*").alias("m"))
-    found = words_of.join(counts.where(F.col("c") < least), "w", "left")
-    own = F.when(F.col("c").isNull(), F.lit(unknown)).otherwise(F.log10((F.col("c") - F.lit(d1)) / F.lit(float(max(n, 1)))))
-    tail = found.groupBy("uid").agg(F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("tb"), F.sum(F.col("m") * own).alias("ts"), F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("tk"))
-    out = part.join(tail, "uid", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_tokens") - F.col("n_rare") + F.coalesce("tk", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("b") + F.coalesce("tb", F.lit(0.0)) - F.col("n_tokens") * F.lit(per)).alias("base_score"), (F.col("s") + F.coalesce("ts", F.lit(0.0))).alias("score"))
-
-
-def _tails_kept(levels: Levels, ks: np.ndarray, n: int) -> np.ndarray:
-    """Which n-grams' last n-1 words are a kept (n-1)-gram."""
-    words_back = []
-    at = ks
-    for k in range(n, 1, -1):
-        words_back.append(at & ((1 << 31) - 1))
-        at = at >> 31
-        if k > 2:
-            at = levels.keys[k - 3][at]
-    seq = words_back[::-1]  # words 2..n
-    state = seq[0]
-    for j in range(1, len(seq)):
-        state = levels.find(j + 1, state, seq[j])
-    return state >= 0
+    def run(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        ids, row = _flat(pdf)
+        place = got["place"].to_numpy(np.int64)
+        kind, number = place >> PLACE, place & ((1 << PLACE) - 1)
+
+        def table(k: int, size: int) -> tuple[np.ndarray, ...]:
+            own = kind == k
+            out = tuple(np.zeros(size) for _ in range(3))
+            for a, name in zip(out, ("c", "s", "t"), strict=True):
+                a[number[own]] = got[name].to_numpy(float, na_value=0.0)[own]
+            return out
+
+        c, s, t = table(1, int(ids.max()) + 1)
+        known = c[ids] > 0
+        base = np.log10(c + 1)[ids]
+        value = np.where(c > 0, np.log10(np.maximum(c - ds[0], 1e-9) / max(n, 1)), unknown)[ids]
+        at = ids
+        for k, (grams, here) in enumerate(places(ids, row, order), 2):
+            whole = np.maximum(c, 1)
+            lam = np.maximum(1 - (s - ds[k - 1] * t) / whole, 1e-9)
+            i = np.flatnonzero(here >= 0)
+            ctx = before(at, row)[i]
+            c, s, t = table(k, len(grams))
+            mine = c[here[i]]
+            share = np.maximum(mine - ds[k - 1], 0) / whole[ctx]
+            # a context that the model lacks has nothing after it, so its weight is one
+            value[i] = np.where(mine > 0, np.log10(share + lam[ctx] * 10.0 ** value[i]), np.log10(lam[ctx]) + value[i])
+            at = here
+        size = np.bincount(row, minlength=len(pdf))
+        total = {name: np.bincount(row, weights=w, minlength=len(pdf)) for name, w in (("n_known", known), ("base_score", base), ("score", value))}
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "n_tokens": size, "n_known": total["n_known"].astype(np.int64), "base_score": total["base_score"] - size * per, "score": total["score"]})
+
+    both = coded.drop("types").groupBy("b").cogroup(rows.groupBy("b"))
+    out = both.applyInPandas(run, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def by_remainder(m: int = 7, r: int = 2):

@@ -229,6 +229,14 @@ def test_automaton_sums_to_one_and_equals_the_formula(spark):
     assert p["a a a"] > p["f a f"]
 
 
+def test_rare_ngrams_keep_their_context_in_a_large_corpus(spark):
+    # over 2^21 tokens, two of each rare word
+    docs = make(spark, [(1, "a " * 2_300_000 + "qq ww", "en", "a"), (2, "qq ww", "en", "a"), (10, "qq ww", "en", "a"), (11, "qq", "en", "a")])
+    s = {r["doc_id"]: r["score"] for r in ngram_scoring.score_documents(docs, F.col("doc_id") >= 10).collect()}
+    # the first word costs log10(2 / n), about -6; the second and the end follow it each time
+    assert -8 < s[10] < -6 and s[11] < s[10] - 3
+
+
 def test_scores_beat_the_base_on_held_out(spark, sf):
     got = queries.op6_lm_scoring(spark, sf).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got["s"] > got["b"]
