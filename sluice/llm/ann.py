@@ -1,8 +1,8 @@
 """Near duplicates of vectors with navigable small-world graphs, one hierarchy a shard.
 
 Equal vectors are one row with a count. Rows are dealt over shards; each shard builds its own graph, and every vector
-queries every shard. A shard's beam doubles until an audit, some of its own rows held against all of its rows, finds at
-least AUDIT_RECALL of the true links. A query whose beam is full of links is answered from all rows of the shard instead,
+queries every shard. A shard's beam doubles until an audit, vectors that query it (of other shards first) held against all of its rows, finds
+at least AUDIT_RECALL of the true links of a query on average, without links to itself and without queries that are answered from all rows. A query whose beam is full of links is answered from all rows of the shard instead,
 so no number of partners is cut off. Cosines are verified in double precision. Each task gives link
 counts and only links that span the components it saw, so a group of near copies makes no list of all its pairs.
 
@@ -29,6 +29,8 @@ SHARDS, SHARD_ROWS = 8, 200_000
 DEGREE = 12
 BEAM = 32
 AUDIT_RECALL, AUDIT_ROWS = 0.99, 128
+#: Queries of a shard among which the audit looks for linked ones.
+AUDIT_POOL = 8192
 STEP = 4
 
 
@@ -184,28 +186,51 @@ def unit(rows: list) -> np.ndarray:
 
 
 class Shard:
-    """One shard's rows, graph and audited beam."""
+    """One shard's rows and graph; the beam is set by the audit."""
 
     def __init__(self, ids: np.ndarray, count: np.ndarray, vectors: list, threshold: float):
         self.ids, self.count, self.threshold = ids, count, threshold
         self.x = unit(vectors)
         self.graph = Graph(self.x)
         self.beam, self.recall = BEAM, 0.0
-        at = np.linspace(0, len(ids) - 1, min(AUDIT_ROWS, len(ids))).astype(int)
-        truth = self.x[at] @ self.x.T >= threshold
+
+    def audit(self, ids: np.ndarray, q: np.ndarray) -> None:
+        """Widen the beam until it finds what a full search does, for up to AUDIT_ROWS of the queries that are linked with other rows."""
+        order = np.random.default_rng(7).permutation(len(ids))
+        order = order[np.argsort(np.isin(ids[order], self.ids), kind="stable")]
+        at, truth = [], []
+        for a in range(0, len(order), 256):
+            part = order[a : a + 256]
+            hit = (self.graph.x @ q[part].T.astype(np.float32) >= self.threshold - 1e-3) & (self.ids[:, None] != ids[part])
+            for k in np.flatnonzero(hit.any(0)):
+                j = np.flatnonzero(hit[:, k])
+                j = j[self.x[j] @ q[part[k]] >= self.threshold]
+                if len(j):
+                    at.append(part[k])
+                    truth.append(j)
+            if len(at) >= AUDIT_ROWS:
+                break
+        at, truth = at[:AUDIT_ROWS], truth[:AUDIT_ROWS]
+        if not at:
+            return
         while True:
-            got = self.links(self.x[at])
-            found = sum(truth[i, j].sum() for i, j in enumerate(got))
-            self.recall = found / truth.sum()
-            if self.recall >= AUDIT_RECALL or self.beam >= len(ids):
+            got, full = self.find(q[at])
+            parts = [np.isin(t, g).mean() for t, g, exact in zip(truth, got, full, strict=True) if not exact]
+            self.recall = float(np.mean(parts)) if parts else 1.0
+            if self.recall >= AUDIT_RECALL or self.beam >= len(self.ids):
                 break
             self.beam *= 2
 
     def links(self, q: np.ndarray) -> list[np.ndarray]:
         """Places of the rows linked with each query."""
+        return self.find(q)[0]
+
+    def find(self, q: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Places of the rows linked with each query, and whether they come from all rows."""
         ids, sims = self.graph.query(q, self.beam)
         maybe = (sims >= self.threshold - 1e-3) & (ids >= 0)
-        full = np.flatnonzero(2 * maybe.sum(1) > self.beam)
+        exact = 2 * maybe.sum(1) > self.beam
+        full = np.flatnonzero(exact)
         out: list[np.ndarray] = []
         for i in range(len(q)):
             j = ids[i, maybe[i]]
@@ -215,12 +240,26 @@ class Shard:
             hit = self.x @ q[part].T >= self.threshold
             for k, i in enumerate(part):
                 out[i] = np.flatnonzero(hit[:, k])
-        return out
+        return out, exact
 
 
 def _search(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, built, held = None, None, []
+        shard, built, held, waiting = None, None, [], []
+
+        def flush() -> Iterator[pd.DataFrame]:
+            """The answers to the waiting queries, of which the first ones audit the shard."""
+            nonlocal built
+            if waiting and (held or built is not None):
+                ask = pd.concat(waiting)
+                if built is None:
+                    own = pd.concat(held)
+                    built = Shard(own["vec_id"].to_numpy(np.int64), own["n"].to_numpy(np.int64), own["embedding"].tolist(), threshold)
+                    built.audit(ask["vec_id"].to_numpy(np.int64), unit(ask["embedding"].tolist()))
+                    held.clear()
+                for lo in range(0, len(ask), 4096):
+                    yield answer(ask.iloc[lo : lo + 4096])
+            waiting.clear()
 
         def answer(pdf: pd.DataFrame) -> pd.DataFrame:
             ids = pdf["vec_id"].to_numpy(np.int64)
@@ -238,17 +277,15 @@ def _search(threshold: float):
         for pdf in batches:
             for (key, query), part in pdf.groupby(["shard", "query"], sort=True):
                 if key != shard:
+                    yield from flush()
                     shard, built, held = key, None, []
                 if not query:
                     held.append(part)
                     continue
-                if built is None and held:
-                    own = pd.concat(held)
-                    built = Shard(own["vec_id"].to_numpy(np.int64), own["n"].to_numpy(np.int64), own["embedding"].tolist(), threshold)
-                    held = []
-                if built is not None:
-                    for lo in range(0, len(part), 4096):
-                        yield answer(part.iloc[lo : lo + 4096])
+                waiting.append(part)
+                if built is not None or sum(map(len, waiting)) >= AUDIT_POOL:
+                    yield from flush()
+        yield from flush()
 
     return run
 

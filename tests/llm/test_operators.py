@@ -193,6 +193,29 @@ def test_vectors_against_brute_force(spark):
     assert (rest["n_links"] == 0).all() and (rest["component_id"] == rest["vec_id"]).all() and len(got) == len(rows)
 
 
+def test_audit_counts_links_of_other_shards_queries_alone():
+    # one hot group, answered from all rows, and pairs whose other half only asks; a graph without arcs finds no pair
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(300, 16))
+    hot = base[0] + 0.01 * rng.normal(size=(400, 16))
+    rows, asks = np.concatenate([base, hot]), base[1:61] + 0.001 * rng.normal(size=(60, 16))
+    shard = ann.Shard(np.arange(len(rows)), np.ones(len(rows), np.int64), list(rows), 0.9)
+    true = shard.graph.query
+    # the beam finds each asked row's partner only from 128 on
+    shard.graph.query = lambda q, beam: true(q, beam) if beam >= 128 else _lose(*true(q, beam), 300)
+    ids = np.concatenate([10_000 + np.arange(60), np.arange(len(rows))])
+    shard.audit(ids, ann.unit([*asks, *rows]))
+    assert shard.beam >= 128
+    # found is each row's link with itself, which no audit counts
+    alone = ann.Shard(np.arange(300), np.ones(300, np.int64), list(base), 0.999)
+    alone.audit(np.arange(300), ann.unit(list(base)))
+    assert alone.beam == ann.BEAM and alone.recall == 0.0
+
+
+def _lose(ids, sims, below):
+    return ids, np.where(ids < below, -np.inf, sims)
+
+
 def test_no_vectors(spark):
     assert ann.vector_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
