@@ -155,7 +155,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
     for k, b in enumerate(blocks):
         t = b.text
         words = t.count(" ") + 1
-        low = t[:400].lower()
+        low = t.lower()
         f = [*path_features(b.path), "bias", f"words {bucket(words, (2, 5, 10, 20, 40, 80))}", f"link {bucket(b.link / len(t), (0.01, 0.3, 0.6, 0.9))}", f"end {t[-1] if t[-1] in '.!?:,' else 'x'}", f"commas {bucket(t.count(','), (1, 3, 8))}", f"place {bucket(k / n, (0.1, 0.5, 0.9))}"]
         f += ["hint " + h for h in HINTS if h in low]
         out.append(f)

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -116,13 +117,20 @@ def _failed(base: pd.DataFrame) -> np.ndarray:
     return ((base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PCT * base["n_words"])).to_numpy()
 
 
+@cache
+def _upper() -> np.ndarray:
+    """Whether each code point is an upper-case letter."""
+    return np.fromiter((chr(i).isupper() for i in range(0x110000)), bool, 0x110000)
+
+
 def _reference(text: str, n_words: int, n_symbols: int) -> bool:
     """Few symbols and mostly lower case."""
     if 10 * n_symbols > n_words:
         return False
-    upper = sum(map(str.isupper, text[:20000]))
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    upper = int(np.count_nonzero(_upper()[cp]))
     marks = text.count("!") + text.count("?")
-    return 10 * upper <= 3 * len(text[:20000]) and 4 * marks <= n_words
+    return 10 * upper <= 3 * len(text) and 4 * marks <= n_words
 
 
 def _langs(pdf: pd.DataFrame) -> list[str]:

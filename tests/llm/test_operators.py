@@ -220,6 +220,15 @@ def test_no_vectors(spark):
     assert ann.vector_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_reference_texts_and_hints_are_judged_by_the_whole_text():
+    low, high = "plain words of a text " * 1000, "JUNK ÀÉ LETTERS ΩΣ " * 3000
+    for text, good in ((low + high, False), (high[:20_000] + low * 10, True), (low, True), (high, False)):
+        assert quality._reference(text, len(text.split()), 0) is good
+    hint = html_text.HINTS[0]
+    block = html_text.blocks_of(f"<p>{'x ' * 300}{hint}</p>")
+    assert "hint " + hint in html_text.features(block)[0]
+
+
 # 6 scoring
 
 def test_scores_are_log_probabilities(spark):
