@@ -92,6 +92,48 @@ def texts_of(pdf: pd.DataFrame, name: str = "text") -> list[str]:
     return [t if isinstance(t, str) else "" for t in pdf[name]]
 
 
+def slabs(batches: Iterator[pd.DataFrame], limit: int = CHUNK_CHARS, name: str = "text") -> Iterator[pd.DataFrame]:
+    """The rows, with empty texts for nulls, in frames of about so many characters; a longer text is a frame of its own."""
+    held, size = [], 0
+    for pdf in batches:
+        texts = texts_of(pdf, name)
+        pdf = pdf.assign(**{name: texts})
+        for at in chunks(texts, limit):
+            n = sum(map(len, texts[at]))
+            if held and size + n > limit:
+                yield pd.concat(held, ignore_index=True)
+                held, size = [], 0
+            held.append(pdf.iloc[at])
+            size += n
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned whole numbers as compressed planes of their bytes."""
+    import zstandard
+
+    x = np.ascontiguousarray(x).astype(np.uint64)
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = x.view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The numbers of packed()."""
+    import zstandard
+
+    width, planes = data[0], np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
+    out = np.zeros((len(planes) // width, 8), np.uint8)
+    out[:, :width] = planes.reshape(width, -1).T
+    return out.view(np.uint64).ravel()
+
+
+def word_bytes(text: str) -> list[bytes]:
+    """The words of a text with A-Z lower-cased, as UTF-8: bytes split at just the six white characters, and lower just these letters."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
 def words(text: str) -> list[str]:
     """The same as WORD.findall(text), by the faster str.split() where that splits alike."""
     return WORD.findall(text) if ODD_SPACE.search(text) else text.split()

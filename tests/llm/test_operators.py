@@ -246,27 +246,73 @@ def test_scores_are_log_probabilities(spark):
         assert r.score < 0
 
 
-def test_automaton_sums_to_one_and_equals_the_formula(spark):
+def plain_model(train):
+    """Counts and exponents of the model, and log10 probability of a token after others, by the plain formula."""
+    grams = [Counter(), Counter(), Counter()]
+    end = ngram_scoring.END
+    for t in train:
+        for i, w in enumerate(t):
+            grams[0][(w,)] += 1
+            grams[1][(t[i - 1] if i else end, w)] += 1
+            if i:
+                grams[2][(t[i - 2] if i > 1 else end, t[i - 1], w)] += 1
+    n = sum(grams[0].values())
+    unknown = (sum(c == 1 for c in grams[0].values()) + 1) / (n + 2) if n else 1.0
+
+    def exponent(k):
+        new = sum(c == 1 for c in grams[k].values())
+        bins = {}
+        for c in grams[k - 1].values():
+            bins.setdefault(int(math.log2(c) * ngram_scoring.BINS), []).append(c)
+        lo, hi = 0.0, 8.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            total = sum(sum(cs) * ngram_scoring.SHARE_OF_ONE * (sum(cs) / len(cs)) ** -mid for cs in bins.values())
+            lo, hi = (mid, hi) if total > new else (lo, mid)
+        return lo
+
+    g = [exponent(1), exponent(2)]
+
+    def p(state, w):
+        if not state:
+            return (1 - unknown) * grams[0][(w,)] / n if grams[0][(w,)] else unknown
+        have = grams[len(state) - 1][state]
+        if not have:
+            return p(state[1:], w)
+        share = max(ngram_scoring.SHARE_OF_ONE * have ** -g[len(state) - 1], 1e-12)
+        return (1 - share) * grams[len(state)][(*state, w)] / have + share * p(state[1:], w)
+
+    def score(t):
+        full = [end, *t]
+        return sum(math.log10(p(tuple(full[max(0, i - 1) : i + 1]), w)) for i, w in enumerate(t))
+
+    return p, score, {w for (w,) in grams[0]}
+
+
+@pytest.mark.parametrize("batch", [40, 16_000_000])
+def test_automaton_equals_the_formula_and_sums_to_one(spark, monkeypatch, batch):
     rng = random.Random(1)
-    texts = [" ".join(rng.choices("abcdef", weights=[9, 7, 5, 3, 2, 1], k=30)) for _ in range(60)]
-    docs = make(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
-    probe = [f"{a} {b} {c}" for a in "abf" for b in "ac" for c in [*"abcdef", "nope"]] + [f"{a} {b}" for a in "abf" for b in "ac"]
-    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + k, t) for k, t in enumerate(probe)], "doc_id long, text string"))
-    s = {r["doc_id"]: r["score"] for r in ngram_scoring.score_documents(both, F.col("doc_id") >= 1000).collect()}
-    p = {t: 10 ** s[1000 + k] for k, t in enumerate(probe)}
-    # over all next tokens (words, unknown, end) after "a b", all texts of three words that begin so have no more than its share
-    for a in "abf":
-        for b in "ac":
-            assert 0 < p[f"{a} {b}"] < 1 and sum(p[f"{a} {b} {c}"] for c in [*"abcdef", "nope"]) < 1
-    assert p["a a a"] > p["f a f"]
+    texts = [" ".join(rng.choices("abcdef", weights=[9, 7, 5, 3, 2, 1], k=rng.choice([0, 1, 2, 30]))) for _ in range(60)]
+    probe = [" ".join(rng.choices([*"aBcdef", "nope", "never"], k=rng.randint(0, 12))) for _ in range(40)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, t) for k, t in enumerate(probe)]
+    both = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    coded = ngram_scoring.encode
+    monkeypatch.setattr(ngram_scoring, "encode", lambda d: coded(d, batch))
+    monkeypatch.setattr(ngram_scoring, "RANGE_KEYS", 300)
+    got = {r["doc_id"]: r["score"] for r in ngram_scoring.score_documents(both, F.col("doc_id") >= 1000).collect()}
+    p, score, vocabulary = plain_model([ngram_scoring.tokens_of(t) for t in texts])
+    for i, t in rows:
+        assert got[i] == pytest.approx(score(ngram_scoring.tokens_of(t)), abs=1e-6), t
+    for state in [(), (b"a",), (ngram_scoring.END, b"a"), (b"a", b"b"), (b"f", b"f"), (b"nope",)]:
+        assert sum(p(state, w) for w in [*vocabulary, b"unknown"]) == pytest.approx(1)
 
 
 def test_rare_ngrams_keep_their_context_in_a_large_corpus(spark):
-    # over 2^21 tokens, two of each rare word
-    docs = make(spark, [(1, "a " * 2_300_000 + "qq ww", "en", "a"), (2, "qq ww", "en", "a"), (10, "qq ww", "en", "a"), (11, "qq", "en", "a")])
+    # over 2^21 tokens, one of each rare word
+    docs = make(spark, [(1, "a " * 2_300_000 + "x", "en", "a"), (2, "qq ww", "en", "a"), (10, "qq ww", "en", "a"), (11, "qq", "en", "a")])
     s = {r["doc_id"]: r["score"] for r in ngram_scoring.score_documents(docs, F.col("doc_id") >= 10).collect()}
-    # the first word costs log10(2 / n), about -6; the second and the end follow it each time
-    assert -8 < s[10] < -6 and s[11] < s[10] - 3
+    # the second word and the end follow the first one each time that it occurs
+    assert -9 < s[10] < -1 and s[10] > s[11]
 
 
 def test_scores_beat_the_base_on_held_out(spark, sf):
