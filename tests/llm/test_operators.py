@@ -88,15 +88,97 @@ def test_base_counts(documents):
         assert tuple(got.loc[k, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]]) == base_by_hand(t)
 
 
-def test_model_sums_to_one(documents):
-    model = quality.train(documents)
+@pytest.fixture(scope="module")
+def first(documents):
+    docs = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", F.lit(1).cast("long").alias("k1"), F.lit(1).cast("long").alias("k2"))
+    return docs.mapInPandas(quality._first, quality.FIRST).cache()
+
+
+def test_model_sums_to_one(first):
+    model = quality.train(first).slice(0)
     rng = np.random.default_rng(1)
-    gram, _ = quality.word_windows(["the", "on", "zzz", "thing"])
+    gram, _ = quality.word_windows([b"the", b"on", b"zzz", b"thing"])
     for g in gram[rng.permutation(len(gram))[:6]]:
         context = (g >> np.uint64(12)) << np.uint64(12)
         every = context + np.arange(1 << 12, dtype=np.uint64)
         for lang in ("en", quality.ALL):
-            assert (10 ** model.log10p(lang, every)).sum() == pytest.approx(1, abs=1e-4)
+            assert model.probability(lang, every).sum() == pytest.approx(1, abs=1e-4)
+
+
+def plain_kneser_ney(words: Counter):
+    """Modified Kneser-Ney over the characters of counted words, by its definition: p(symbols before, symbol)."""
+    n, level = quality.ORDER, [Counter()]
+    for w, c in words.items():
+        full = [1] * (n - 1) + [int(x) for x in quality.symbol_codes(np.array([ord(ch) for ch in w], np.uint64))] + [2]
+        for i in range(n - 1, len(full)):
+            level[0][tuple(full[i - n + 1 : i + 1])] += c
+    for _ in range(n - 1):
+        nxt = Counter()
+        for g, c in level[-1].items():
+            # at a word's start the count stays, elsewhere different left neighbours count
+            nxt[g[1:]] += c if g[1] == 1 else 1
+        level.append(nxt)
+    level.reverse()
+    rules = []
+    for c in level:
+        rules.append(quality.discounts(*[sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]))
+    after = [{} for _ in level]
+    for k, c in enumerate(level):
+        for g, x in c.items():
+            d = after[k].setdefault(g[:-1], [0, 0.0])
+            d[0] += x
+            d[1] += rules[k][min(x, 3) - 1]
+
+    def p(g):
+        value = 1 / 4096
+        for k in range(n):
+            own = g[n - 1 - k :]
+            total, cut = after[k].get(own[:-1], (0, 0))
+            c = level[k].get(own, 0)
+            if total:
+                value = (c - rules[k][min(c, 3) - 1] if c else 0) / total + cut / total * value
+        return value
+
+    return p
+
+
+@pytest.mark.parametrize("rows", [10**9, 900])
+def test_model_and_sums_equal_the_plain_method(spark, monkeypatch, rows):
+    rng = random.Random(6)
+    pool = ["".join(rng.choices("abcdé", k=rng.randint(1, 7))) for _ in range(80)]
+    texts = [(k, " ".join(rng.choices(pool, k=30)), "x" * 300 + str(k % 2)) for k in range(40)] + [(100, "zq " + pool[0], "x" * 300 + "1"), (101, "", "y"), (102, "ab", "never seen")]
+    docs = spark.createDataFrame(texts, "doc_id string, text string, lang string").withColumns({"k1": F.xxhash64("doc_id"), "k2": F.lit(0).cast("long")})
+    monkeypatch.setattr(quality, "SLICE_ROWS", rows)
+    first = docs.mapInPandas(quality._first, quality.FIRST).cache()
+    model = quality.train(first)
+    assert (model.slices > 1) == (rows == 900)
+    got = {r["k1"]: r for r in quality.score(docs, model).collect()}
+    keys = {r["doc_id"]: r["k1"] for r in docs.collect()}
+    known = {}
+    for _, t, lang in texts[:40]:
+        for k in (lang, quality.ALL):
+            known.setdefault(k, Counter()).update(t.split())
+    plain = {k: plain_kneser_ney(c) for k, c in known.items()}
+    for i, t, lang in texts:
+        logs = []
+        for w in t.split():
+            full = [1] * 4 + [int(x) for x in quality.symbol_codes(np.array([ord(ch) for ch in w], np.uint64))] + [2]
+            for j in range(4, len(full)):
+                g = tuple(full[j - 4 : j + 1])
+                own = plain[lang](g) if lang in plain else 1 / 4096
+                logs.append(math.log10(0.8 * own + 0.2 * plain[quality.ALL](g)))
+        if not logs:
+            assert keys[str(i)] not in got
+            continue
+        r = got[keys[str(i)]]
+        assert r["symbols"] == len(logs) and r["log_ppl"] == pytest.approx(-np.mean(logs), rel=1e-5) and r["sd"] == pytest.approx(np.std(logs), rel=1e-4, abs=1e-6)
+
+
+def test_verdicts_follow_the_bands(documents):
+    got = quality.quality(documents).toPandas()
+    fits = ~(got["log_ppl"] < got["lower"]) & ~(got["log_ppl"] > got["upper"])
+    assert (got["kept"] == (~got["base_failed"] & fits)).all() and (got.loc[got["n_words"] > 0, "log_ppl"].notna()).all()
+    assert got["base_failed"].tolist() == ((got["n_words"] < 20) | (100 * got["n_repeat_words"] > 30 * got["n_words"])).tolist()
 
 
 def test_quality_separates_junk(spark, documents, sf):
