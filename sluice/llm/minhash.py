@@ -6,9 +6,10 @@ rarest lists of each, so only that prefix is posted; the longest lists are skipp
 collisions are counted over the whole signatures, and pairs under MATCHES are dropped. The pairs that are left
 join sets into clusters; within a cluster every pair that is not yet connected is confirmed on the full sets.
 
-No group has to fit into a task: lists and clusters over BLOCK members are cut into blocks. Each block is solved by itself,
+No group has to fit into a task: lists and clusters over BLOCK members, or BLOCK_SHINGLES shingles, are cut into blocks. Each block is solved by itself,
 then the components found so far are linked through a few members of each block, and at last only members outside their group's largest component are
-held against all blocks. So every pair is either connected already or compared, and no list of all pairs is made.
+held against all blocks, some at a time. So every pair is either connected already or compared, and no list of all pairs is made. The texts of clusters' members are read once;
+what is held against each other are their stored sets of shingle hashes.
 
 At Jaccard 0.8 a pair has fewer than MATCHES of COORDS equal coordinates with a probability of about 3e-5.
 
@@ -26,11 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import LOWER, components, forest, mix64, ship, stored, texts_of, words
-from sluice.llm.toxicity import hash_word
+from sluice.llm.common import components, forest, mix64, packed, ship, slabs, stored, unpacked, word_bytes
 
 COORDS, MATCHES = 32, 16
 BLOCK = 768
+#: A single set may be larger; it is then alone in its block.
+BLOCK_SHINGLES = 1_500_000
 LEADERS = 24
 SEEDS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -42,12 +44,16 @@ class Shingler:
         self.size, self.known = size, {}
 
     def __call__(self, text: str) -> np.ndarray:
-        found, known = words(text.translate(LOWER)), self.known
+        import xxhash
+
+        found, known = word_bytes(text), self.known
         if not found:
             return np.empty(0, np.uint64)
         if len(known) > 400_000:
             known.clear()
-        h = np.fromiter([known.get(w) or known.setdefault(w, hash_word(w)) for w in found], np.uint64, len(found))
+        new = set(found).difference(known)
+        known.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
+        h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
         k = min(self.size, len(h))
         out = np.full(len(h) - k + 1, np.uint64(k))
         for i in range(k):
@@ -63,9 +69,9 @@ def signature(s: np.ndarray) -> np.ndarray:
 def _sketches(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(size)
-        for pdf in batches:
+        for pdf in slabs(batches):
             n, k1, k2, sig = [], [], [], []
-            for t in texts_of(pdf):
+            for t in pdf["text"]:
                 s = shingle(t)
                 n.append(len(s))
                 k1.append(int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
@@ -76,6 +82,18 @@ def _sketches(size: int):
     return run
 
 
+def _sets(size: int):
+    """id, weight (shingles) and payload (the sorted set, as packed differences) of texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle = Shingler(size)
+        for pdf in slabs(batches):
+            sets = [shingle(t) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "weight": [len(s) for s in sets], "payload": [packed(np.diff(s, prepend=np.uint64(0))) for s in sets]})
+
+    return run
+
+
 def _by_signature(sigs: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.uint32) for x in sigs])
 
@@ -89,12 +107,11 @@ def same_signature(a: list, b: list) -> np.ndarray:
     return hits >= MATCHES
 
 
-def same_text(size: int, percent: int) -> Callable[[list, list], np.ndarray]:
-    """Which texts of a and b have 100 * intersection >= percent * union of their full shingle sets: a matrix."""
+def same_sets(percent: int) -> Callable[[list, list], np.ndarray]:
+    """Which sets of a and b have 100 * intersection >= percent * union: a matrix."""
 
     def run(a: list, b: list) -> np.ndarray:
-        shingle = Shingler(size)
-        sets = [shingle(t or "") for t in a] + ([shingle(t or "") for t in b] if b is not a else [])
+        sets = [np.cumsum(unpacked(x)) for x in (a if b is a else [*a, *b])]
         n = np.array([len(s) for s in sets])
         ids, inv = np.unique(np.concatenate(sets), return_inverse=True)
         row = np.repeat(np.arange(len(sets)), n)
@@ -109,7 +126,7 @@ def same_text(size: int, percent: int) -> Callable[[list, list], np.ndarray]:
         both = np.zeros((m, len(sets) - m if b is not a else m), np.float32)
         for lo in range(0, width, 4096):
             s = slice(*np.searchsorted(inv, [lo, lo + 4096]))
-            dense = np.zeros((len(sets), 4096), np.float32)
+            dense = np.zeros((len(sets), min(4096, width - lo)), np.float32)
             dense[row[s], inv[s] - lo] = 1
             both += dense[:m] @ (dense[m:] if b is not a else dense[:m]).T
         x, y = n[:m], n[m:] if b is not a else n[:m]
@@ -175,36 +192,55 @@ def _stream(link: Callable, small: bool, limit: int):
 
 
 def _cross(link: Callable):
-    """Links between a block's members and the outsiders of its group."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[pdf["outside"]]
-        own = pdf[~pdf["outside"]]
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for lo in range(0, len(out), BLOCK):
-            part = out.iloc[lo : lo + BLOCK]
-            if len(own):
-                i, j = np.nonzero(link(part["payload"].tolist(), own["payload"].tolist()))
-                keep = part["id"].to_numpy()[i] != own["id"].to_numpy()[j]
-                a.append(part["id"].to_numpy()[i[keep]])
-                b.append(own["id"].to_numpy()[j[keep]])
-        x, y = forest(np.concatenate(a), np.concatenate(b))
-        return pd.DataFrame({"a": x, "b": y})
+    """Links between a block's members and the outsiders of its group; rows are sorted by group, the members first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, own, held = None, [], []
+
+        def solve() -> pd.DataFrame:
+            part, mine = pd.concat(held), pd.concat(own)
+            held.clear()
+            i, j = np.nonzero(link(part["payload"].tolist(), mine["payload"].tolist()))
+            a, b = part["id"].to_numpy(np.int64)[i], mine["id"].to_numpy(np.int64)[j]
+            x, y = forest(a[a != b], b[a != b])
+            return pd.DataFrame({"a": x, "b": y})
+
+        for pdf in batches:
+            for (key, outside), part in pdf.groupby(["group", "outside"], sort=False):
+                if key != group:
+                    if held and own:
+                        yield solve()
+                    group, own, held = key, [], []
+                if not outside:
+                    own.append(part)
+                    continue
+                for lo in range(0, len(part), BLOCK):
+                    held.append(part.iloc[lo : lo + BLOCK])
+                    if own and (sum(map(len, held)) >= BLOCK or sum(p["weight"].sum() for p in held) >= BLOCK_SHINGLES):
+                        yield solve()
+        if held and own:
+            yield solve()
 
     return run
 
 
-def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], link: Callable, tag: str, small: bool = False) -> DataFrame:
+def linked(members: DataFrame, payloads: DataFrame, link: Callable, tag: str, small: bool = False) -> DataFrame:
     """Links (a, b) that span the components of every group under link.
 
-    members: group, id (distinct rows); fetch adds the payload to a table with an id. link: a matrix for two lists of payloads.
+    members: group, id (distinct rows); payloads: id, weight, payload. link: a matrix for two lists of payloads.
     """
-    sizes = members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-    rows = members.join(sizes, "group").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = stored(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), f"{tag}-members")
+    # members grow with the input, so they are never broadcast
+    fetch = lambda t: t.hint("merge").join(payloads, "id")
+    if small:
+        members = members.select("group", "id", F.lit(1).alias("weight"))
+    else:
+        members = members.hint("merge").join(payloads.groupBy("id").agg(F.max("weight").alias("weight")), "id").select("group", "id", "weight")
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).where("n > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_SHINGLES)).cast("int")
+    rows = members.join(sizes, "group").withColumn("blocks", F.least(blocks, F.col("n").cast("int")))
+    rows = stored(rows.select("group", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), f"{tag}-members")
     schema = "a long, b long"
-    key = F.xxhash64("group", "block")
-    full = fetch(rows).withColumn("group", key).select("group", "id", "payload")
+    full = fetch(rows).select(F.xxhash64("group", "block").alias("group"), "id", "payload")
     one = stored(full.repartition("group").sortWithinPartitions("group", "id").mapInPandas(_stream(link, small, 20_000 if small else 256), schema), f"{tag}-blocks")
     large = rows.where("blocks > 1")
     if large.isEmpty():
@@ -218,17 +254,20 @@ def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], link: Ca
     lead = inside.join(top, ["group", "block", "c"]).where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(BLOCK)) < LEADERS).select("group", "id").distinct()
     count = lead.groupBy("group").agg(F.count("*").alias("n"))
     lead = lead.join(count, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (2 * BLOCK))))
-    lead_rows = fetch(lead).withColumn("group", F.xxhash64("group", "part")).select("group", "id", "payload")
+    lead_rows = fetch(lead).select(F.xxhash64("group", "part").alias("group"), "id", "payload")
     two = stored(lead_rows.repartition("group").sortWithinPartitions("group", "id").mapInPandas(_stream(link, small, 256), schema), f"{tag}-leaders")
     links = one.unionByName(two)
     comp = components(links, f"{tag}-led")
     inside = large.join(comp, "id", "left").select("group", "id", "blocks", "block", F.coalesce("component_id", "id").alias("c"))
     most = inside.groupBy("group", "c").agg(F.count("*").alias("m")).groupBy("group").agg(F.max(F.struct("m", "c")).alias("t")).select("group", F.col("t.c").alias("most"))
-    outside = inside.join(most, "group").where("c <> most")
+    outside = stored(inside.join(most, "group").where("c <> most").select("group", "id", "blocks"), f"{tag}-outside")
+    if outside.isEmpty():
+        return links
     spread = outside.select("group", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("outside"))
-    both = inside.select("group", "id", "block", F.lit(False).alias("outside")).unionByName(spread)
-    three = fetch(both).groupBy("group", "block").applyInPandas(_cross(link), schema)
-    return links.unionByName(stored(three, f"{tag}-rest"))
+    # only groups with outsiders need their blocks again
+    both = large.join(outside.select("group").distinct(), "group", "left_semi").select("group", "id", "block", F.lit(False).alias("outside")).unionByName(spread)
+    cross = fetch(both).select(F.xxhash64("group", "block").alias("group"), "outside", "id", "weight", "payload").repartition("group").sortWithinPartitions("group", "outside", "id")
+    return links.unionByName(stored(cross.mapInPandas(_cross(link), schema), f"{tag}-rest"))
 
 
 def prefixes(sig: DataFrame) -> DataFrame:
@@ -252,12 +291,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = stored(classes.select("k1", "k2", "n_shingles", "r.doc_id", "r.sig"), "mh-classes")
     unpack = F.pandas_udf(lambda s: pd.Series([np.frombuffer(x, np.uint32).astype(np.int64) for x in s], dtype=object), "array<bigint>")
     posted = stored(prefixes(reps.select(F.col("doc_id").alias("id"), unpack("sig").alias("coords"))), "mh-prefixes")
-    # members grow with the input, so they are never broadcast
-    sigs = reps.select(F.col("doc_id").alias("id"), F.col("sig").alias("payload"))
-    pairs = linked(posted, lambda t: t.hint("merge").join(sigs, "id"), same_signature, "mh-lists", small=True)
+    sigs = reps.select(F.col("doc_id").alias("id"), F.lit(1).alias("weight"), F.col("sig").alias("payload"))
+    pairs = linked(posted, sigs, same_signature, "mh-lists", small=True)
     clusters = components(pairs, "mh-clusters")
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("payload"))
-    sure = linked(clusters.select(F.col("component_id").alias("group"), "id"), lambda t: t.hint("merge").join(texts, "id"), same_text(shingle, percent), "mh-sets")
+    # texts move once, those of clusters' members stay
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null").join(clusters.select("id").hint("merge"), "id")
+    sets = stored(texts.mapInPandas(_sets(shingle), "id long, weight long, payload binary"), "mh-texts")
+    sure = linked(clusters.select(F.col("component_id").alias("group"), "id"), sets, same_sets(percent), "mh-sets")
     found = components(sure, "mh-components")
     rep = reps.select("k1", "k2", "n_shingles", F.col("doc_id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
     rep = rep.select("k1", "k2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))

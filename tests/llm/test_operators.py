@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -509,8 +510,11 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     rows += [(300, rows[10][1]), (301, rows[10][1].upper())]
     monkeypatch.setattr(minhash, "BLOCK", block)
     got = {r["doc_id"]: r for r in minhash.near_duplicates(make(spark, [(i, t, "en", "a") for i, t in rows]), shingle=2).collect()}
-    sh = minhash.Shingler(2)
-    sets = {i: set(sh(t or "").tolist()) for i, t in rows}
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        return {tuple(w[k : k + 2]) for k in range(len(w) - 1)} if len(w) > 1 else {tuple(w)} if w else set()
+
+    sets = {i: shingles(t) for i, t in rows}
     label = {i: i for i in sets}
     ids = list(sets)
     for _ in range(6):
