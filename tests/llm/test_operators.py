@@ -483,16 +483,26 @@ def test_lines_against_brute_force(spark):
         keep = []
         for line in t.split("\n"):
             w = line.split()
-            if len(w) >= line_dedup.MIN_WORDS:
-                if not any(line_dedup.word_distance_at_most_one(w, x) for x in seen):
-                    keep.append(line)
-                seen.append(w)
-            else:
+            long = len(w) >= line_dedup.MIN_WORDS
+            if not any(w == x or long and len(x) >= line_dedup.MIN_WORDS and line_dedup.word_distance_at_most_one(w, x) for x in seen):
                 keep.append(line)
+            seen.append(w)
         want[k] = "\n".join(keep)
     assert got == want
 
 
+def test_lines_of_rows_with_one_id(spark):
+    long = "one two three four five six"
+    rows = [(5, long + "\nalpha", "en", "a"), (5, "beta\ngamma\n" + long + " seven\nalpha", "en", "a"), (5, long + "\nalpha", "en", "a"), (None, "gamma", "en", "a"), (7, None, "en", "a")]
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in line_dedup.dedup_lines(make(spark, rows)).collect()))
+    # the row with the null id is the earliest; of the two texts of 5 that of the lower hash keeps the lines they share
+    assert len(got) == 5 and (0, "gamma") in got and (7, "") in got
+    own = [t for i, t in got if i == 5]
+    assert sorted(own) in (sorted([long + "\nalpha"] * 2 + ["beta"]), sorted(["beta\n" + long + " seven\nalpha"] + [""] * 2))
+    exact = [r["text"] for r in line_dedup.dedup_lines(make(spark, rows), edits=0).collect() if r["doc_id"] == 5]
+    assert sum(long in (t or "") for t in exact) == 3
+
+
 # 10 MinHash
 
 @pytest.mark.parametrize("block", [8, 768])
