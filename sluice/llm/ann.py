@@ -6,11 +6,11 @@ at least AUDIT_RECALL of the true links of a query on average, without links to
 so no number of partners is cut off. Cosines are verified in double precision. Each task gives link
 counts and only links that span the components it saw, so a group of near copies makes no list of all its pairs.
 
-A task holds one shard (at most SHARD_ROWS rows) and a batch of queries. The graph is built and searched in
+A task holds one shard (about SHARD_FLOATS components) and a batch of queries; each shard is a task of its own. The graph is built and searched in
 lockstep for many rows, as numpy operations.
 
 Input cases: null vectors, zero vectors and those with null or non-finite components have no links and are their own component; vectors
-of different lengths are not compared; rows with one vec_id are one vector (the first value by order); an empty table gives an empty result.
+of different lengths are not compared; rows with one vec_id are one vector (the least sound value) and one row of the result; rows without an id stay, each with a null component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import components, forest, ship, stored
 
 THRESHOLD = 0.9
-SHARDS, SHARD_ROWS = 8, 200_000
+SHARDS, SHARD_FLOATS = 8, 12_800_000
 DEGREE = 12
 BEAM = 32
 AUDIT_RECALL, AUDIT_ROWS = 0.99, 128
@@ -275,7 +275,7 @@ def _search(threshold: float):
             return pd.DataFrame({"a": np.concatenate([ids[some], x]), "b": np.concatenate([np.full(some.sum(), -1), y]), "n": np.concatenate([links[some], np.zeros(len(x), np.int64)]), "link": np.repeat([False, True], [some.sum(), len(x)])})
 
         for pdf in batches:
-            for (key, query), part in pdf.groupby(["shard", "query"], sort=True):
+            for (*key, query), part in pdf.groupby(["shard", "dim", "query"], sort=True):
                 if key != shard:
                     yield from flush()
                     shard, built, held = key, None, []
@@ -290,26 +290,40 @@ def _search(threshold: float):
     return run
 
 
-def vector_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shards: int = SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def own_partitions(spark: SparkSession, parts: int) -> DataFrame:
+    """(part, shard): for each of so many hash partitions a number that falls into it, so that no two shards meet in one task."""
+    tries = spark.range(parts * 40).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("at"))
+    keys = tries.groupBy("at").agg(F.min("id").alias("shard"))
+    # a partition that none of the numbers hits has one behind them
+    every = spark.range(parts).select(F.col("id").cast("int").alias("part")).join(keys, F.col("part") == F.col("at"), "left")
+    return every.select("part", F.coalesce("shard", F.col("part") + parts * 40).alias("shard"))
+
+
+def vector_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shards: int = SHARDS, shard_floats: int = SHARD_FLOATS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector (vec_id, embedding)."""
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     sound = F.coalesce(finite & F.col("vec_id").isNotNull(), F.lit(False))
-    good = rows.where(sound)
-    reps = stored(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count_distinct("vec_id").alias("n")), "ann-vectors")
-    total = reps.count()
-    parts = max(shards, -(-total // shard_rows))
-    dim = F.size("embedding").cast("long") * parts
-    own = reps.select((dim + F.pmod(F.xxhash64("vec_id"), F.lit(parts))).alias("shard"), F.lit(False).alias("query"), "vec_id", "embedding", "n")
-    ask = reps.select(F.explode(F.sequence(dim, dim + (parts - 1))).alias("shard"), F.lit(True).alias("query"), "vec_id", "embedding", "n")
-    dealt = own.unionByName(ask).repartition("shard").sortWithinPartitions("shard", "query")
+    good = stored(rows.where(sound).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "ann-sound")
+    reps = stored(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "ann-vectors")
+    floats = reps.agg(F.sum(F.size("embedding"))).first()[0] or 0
+    parts = max(shards, -(-floats // shard_floats))
+    keys = stored(own_partitions(spark, parts), "ann-shards")
+    # vectors of another length have shards of their own
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    columns = ["shard", F.size("embedding").alias("dim"), "query", "vec_id", "embedding", "n"]
+    own = reps.withColumns({"part": part, "query": F.lit(False)}).join(keys, "part").select(columns)
+    ask = reps.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "query": F.lit(True)}).join(keys, "part").select(columns)
+    dealt = own.unionByName(ask).repartition(parts, "shard").sortWithinPartitions("shard", "dim", "query")
     found = stored(dealt.mapInPandas(_search(threshold), "a long, b long, n long, link boolean"), "ann-found")
     counts = found.where(~F.col("link")).groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     comp = components(found.where("link").select("a", "b"), "ann").withColumnRenamed("id", "rep")
     same = reps.select("embedding", F.col("vec_id").alias("rep"), "n").join(counts, "rep", "left").join(comp, "rep", "left")
     same = same.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     out = good.join(same, "embedding").select("vec_id", "n_links", "component_id")
-    rest = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    rest = rows.where(~sound)
+    nameless = rest.where("vec_id is null").select("vec_id")
+    alone = rest.where("vec_id is not null").select("vec_id").distinct().join(good.select("vec_id"), "vec_id", "left_anti").unionByName(nameless)
+    return out.unionByName(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -276,6 +276,31 @@ def test_vectors_against_brute_force(spark):
     assert (rest["n_links"] == 0).all() and (rest["component_id"] == rest["vec_id"]).all() and len(got) == len(rows)
 
 
+def test_vectors_with_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 9, True), (1, [0.0, 1.0], 9, True), (2, [0.0, 2.0], 9, True), (3, [3.0, 0.0], 9, True), (4, [0.0, 1.0], 9, True), (4, None, 9, True), (5, None, 9, True), (5, [], 9, True), (None, [1.0, 0.0], 9, True), (None, [1.0, 0.0], 9, True)]
+    got = ann.vector_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard long, query boolean")).collect()
+    # of the two values of 1 the lesser counts: it is linked with 2 and 4
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"]) == [(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 2, 1, False), (5, 0, 5, True)]
+    assert [(r["n_links"], r["component_id"]) for r in got if r["vec_id"] is None] == [(0, None)] * 2
+
+
+def test_each_shard_is_a_task_of_its_own(spark):
+    keys = ann.own_partitions(spark, 13)
+    assert keys.select(F.pmod(F.hash("shard"), F.lit(13))).distinct().count() == keys.select("shard").distinct().count() == 13
+
+
+def test_recall_of_links_by_vector(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(700, 32))
+    x = np.concatenate([base, base[:350] + 0.25 * rng.normal(size=(350, 32)), base[:60] + 0.2 * rng.normal(size=(60, 32))])
+    got = ann.vector_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")["n_links"]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    some = want > 0
+    assert some.sum() > 300 and (got.loc[range(len(x))].to_numpy() <= want).all()
+    assert (got.loc[range(len(x))].to_numpy()[some] / want[some]).mean() >= 0.97
+
+
 def test_audit_counts_links_of_other_shards_queries_alone():
     # one hot group, answered from all rows, and pairs whose other half only asks; a graph without arcs finds no pair
     rng = np.random.default_rng(4)
