@@ -218,18 +218,6 @@ class HashModel:
     def __init__(self, parts: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]], number: int = 0, slices: int = 1):
         self.parts, self.number, self.slices = parts, number, slices
 
-    @staticmethod
-    def build(rows: pd.DataFrame, number: int = 0, slices: int = 1) -> HashModel:
-        """rows: n, context (boolean), key, v."""
-        parts = {}
-        for n in range(1, ORDER + 1):
-            for context in (False, True):
-                own = rows[(rows["n"] == n) & (rows["context"] == context)]
-                key = own["key"].to_numpy(np.int64).view(np.uint64)
-                order = np.argsort(key)
-                parts[n, context] = key[order], own["v"].to_numpy(np.float32)[order]
-        return HashModel(parts, number, slices)
-
     def _find(self, n: int, context: bool, want: np.ndarray, default: float) -> np.ndarray:
         keys, vals = self.parts[n, context]
         if not len(keys):
@@ -269,6 +257,12 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"n": n, "context": context, "key": gram_hash(lang, n, g).view(np.int64), "pair": pair.astype(np.int64) if length >= 2 + (not context) else -1, "v": part["v"]})
 
 
+def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
+    key = pdf["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    return pd.DataFrame({"n": pdf["n"].iloc[:1], "context": pdf["context"].iloc[:1], "key": [key[order].tobytes()], "v": [pdf["v"].to_numpy(np.float32)[order].tobytes()]})
+
+
 class Model:
     """Stored rows (n, context, key, pair, v) and the number of slices."""
 
@@ -276,9 +270,11 @@ class Model:
         self.rows, self.slices = rows, slices
 
     def slice(self, number: int) -> HashModel:
-        """Bounded: about SLICE_ROWS rows, and the orders one and two."""
-        got = self.rows.where((F.col("pair") < 0) | (F.col("slice") == number)).select("n", "context", "key", "v").toPandas()
-        return HashModel.build(got, number, self.slices)
+        """Bounded: about SLICE_ROWS rows, and the orders one and two; tasks sort the arrays, which come as bytes."""
+        here = self.rows.where((F.col("pair") < 0) | (F.col("slice") == number)).select("n", "context", "key", "v")
+        got = here.groupBy("n", "context").applyInPandas(_sorted, "n int, context boolean, key binary, v binary").collect()
+        parts = {(n, context): (np.empty(0, np.uint64), np.empty(0, np.float32)) for n in range(1, ORDER + 1) for context in (False, True)}
+        return HashModel(parts | {(r["n"], r["context"]): (np.frombuffer(r["key"], np.uint64), np.frombuffer(r["v"], np.float32)) for r in got}, number, self.slices)
 
 
 def train(first: DataFrame) -> Model:
