@@ -236,7 +236,9 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
             out.append(pd.DataFrame(dict(zip(names, [list(r.doc_ids), list(r.asked), sizes, *total], strict=True))))
         return pd.concat(out) if out else pd.DataFrame(columns=names)
 
-    both = coded.drop("low", "n").groupBy("b").cogroup(rows.groupBy("b"))
+    # twice as many partitions as batches, so that few of them meet in one task
+    parts = 2 * max(1, coded.count())
+    both = coded.drop("low", "n").repartition(parts, "b").groupBy("b").cogroup(rows.repartition(parts, "b").groupBy("b"))
     out = both.applyInPandas(run, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
