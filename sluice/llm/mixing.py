@@ -1,91 +1,113 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Documents' tokens (words here) are summed over cells of source, language and topic. Raking scales the cells so that their
-sums over each dimension in turn meet the targets, SWEEPS times over all three. A cell's weight over its tokens is its ratio. A document is
-drawn with probability min(1, scale * ratio of its cell); scale is such that the expected tokens are the wanted share of
-all. The draw compares a hash of the document's id with the probability, so it is the same on every run.
+sums over each dimension in turn meet the targets, sweep after sweep, until no sum is off by more than TOLERANCE. A cell can't give more than all its tokens: its
+weight stays under tokens / (share * all tokens). That bound is part of the fitting, so the other cells make up for a cell that gives all it has, and a
+document's probability, share * weight / (share of its cell in all tokens), never has to be cut afterwards: the expected tokens of the draw are in the target shares. The
+draw compares a hash of the document's id with the probability, so it is the same on every run.
 
-Without given targets, a dimension's target shares are its token shares to the power TEMPERATURE, brought to sum 1. A value without a target
-share keeps no weight.
+Without given targets, a dimension's target shares are its token shares to the power TEMPERATURE, brought to sum 1. A value whose
+target is more than HEADROOM of its tokens gives that part of them; the others share the rest in proportion to their targets. A value without a target share keeps no weight.
 
-Input cases: null source, language or text are values of their own ('' stands for null; a null text has no tokens); a document without tokens is
-drawn with its cell's probability, and with 1 in a cell without tokens; copies of a row share one draw; an empty table gives an empty result;
+The default topic is that of the whole text: each word of LONG characters or more falls by its md5 into one of TOPICS, and the one with most words is the text's. Callers who have
+topics pass a column of their own.
+
+Input cases: null source, language or text are values of their own ('' stands for null; a null text has no tokens and no topic); a document without tokens is
+drawn with its cell's probability, and with 1 in a cell without tokens; copies of a row share one draw; null ids are always drawn; an empty table gives an empty result;
 columns whose names the result uses are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sluice.llm.common import WORD_SQL, stored
 
 DIMS = ("source", "lang", "topic")
-TOPICS = 8
-SWEEPS = 8
+TOPICS, LONG = 8, 5
+#: Sums may be off by so much of all tokens; sweeps end then, or after so many.
+TOLERANCE, SWEEPS = 1e-5, 40
 TEMPERATURE = 0.7
 SHARE = 0.8
-ROUNDS = 12
+#: No value is asked for more than this part of its tokens: at all of them the fitting would go on for ever.
+HEADROOM = 0.9
+#: Rounds in which values that give all they have are found; each finds one at least, or is the last.
+ROUNDS = 30
 
 
 def topic_of(text: Column) -> Column:
-    """A topic by hashing: the first word of six letters or more stands for the subject."""
-    word = F.lower(F.regexp_extract(text, "([A-Za-z]{6,})", 1))
-    return F.concat(F.lit("t"), F.conv(F.substring(F.md5(word.cast("binary")), 1, 1), 16, 10).cast("int") % TOPICS)
+    """The number of the topic with most of the text's long words, the first of equal ones; 'none' without such words."""
+    found = F.regexp_extract_all(text, F.lit(f"({WORD_SQL.replace('+', '')}{{{LONG},}})"), 1)
+    # the last character of a hexadecimal md5, of which the first eight and the last eight pair up
+    marks = F.translate(F.array_join(F.transform(found, lambda w: F.substring(F.md5(w.cast("binary")), 32, 1)), ""), "89abcdef", "01234567")
+    counts = F.array(*[F.length(marks) - F.length(F.replace(marks, F.lit(str(k)), F.lit(""))) for k in range(TOPICS)])
+    return F.when(F.length(marks) > 0, F.concat(F.lit("t"), F.array_position(counts, F.array_max(counts)) - 1)).otherwise(F.lit("none"))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens of every document, written once so that texts are read once."""
+def keys_of(topic: Column | None = None) -> dict[str, Column]:
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic_of(text).alias("topic"), F.regexp_count(text, F.lit(WORD_SQL)).cast("long").alias("n_tokens"))
-    return stored(rows, "mix-features")
+    return {"source": F.coalesce("source", F.lit("")), "lang": F.coalesce("lang", F.lit("")), "topic": topic_of(text) if topic is None else F.coalesce(topic, F.lit(""))}
+
+
+def features(docs: DataFrame, topic: Column | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens of every document, written once so that texts are read once."""
+    tokens = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_SQL)).cast("long")
+    return stored(docs.select("doc_id", *[c.alias(d) for d, c in keys_of(topic).items()], tokens.alias("n_tokens")), "mix-features")
 
 
 def default_targets(cells: DataFrame, dim: str, temperature: float = TEMPERATURE) -> DataFrame:
     """(dim, target share): token shares flattened by the temperature."""
-    part = cells.groupBy(dim).agg(F.pow(F.sum("tokens"), F.lit(temperature)).alias("w"))
+    part = cells.where("tokens > 0").groupBy(dim).agg(F.pow(F.sum("tokens"), F.lit(temperature)).alias("w"))
     whole = part.agg(F.sum("w")).first()[0]  # one number
     return part.select(dim, (F.col("w") / F.lit(whole or 1.0)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """cells (DIMS, tokens) with weight: token shares raked to the targets (dim, target)."""
+def attainable(cells: DataFrame, dim: str, targets: DataFrame, share: float = SHARE) -> DataFrame:
+    """(dim, target) that the values' tokens suffice for; two numbers a round come to the driver."""
+    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    have = stored(cells.groupBy(dim).agg((F.sum("tokens") * F.lit(HEADROOM) / F.lit(share * total)).alias("most")).join(targets, dim).select(dim, "target", "most"), f"mix-{dim}")
+    factor = 1.0
+    for _ in range(ROUNDS):
+        full = F.lit(factor) * F.col("target") >= F.col("most")
+        got = have.agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("target"))).alias("open")).first()
+        if not got["open"]:
+            break
+        last, factor = factor, (1 - got["full"]) / got["open"]
+        if abs(factor - last) <= 1e-13 * last:
+            break
+    return have.select(dim, F.least(F.lit(factor) * F.col("target"), F.col("most")).alias("target"))
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float = SHARE, sweeps: int = SWEEPS) -> DataFrame:
+    """cells (DIMS, tokens) with weight: token shares raked to the targets (dim, target), none over its bound; ratio: weight over token share."""
     dims = list(DIMS)
     rows = cells.where("tokens > 0")
     total = rows.agg(F.sum("tokens")).first()[0] or 1  # one number
-    rows = rows.select(*dims, "tokens", (F.col("tokens") / F.lit(total)).alias("weight"))
+    part = F.col("tokens") / F.lit(total)
+    weight = F.least("raw", F.lit(1 / share) * part)
+    rows = stored(rows.select(*dims, "tokens", part.alias("raw")), "mix-start")
+    goals = {d: stored(t, f"mix-goal-{d}") for d, t in targets.items()}
     for k in range(sweeps):
+        off = 0.0
         for dim in dims:
-            margin = rows.groupBy(dim).agg(F.sum("weight").alias("m")).join(targets[dim], dim).select(dim, (F.col("target") / F.col("m")).alias("f"))
-            rows = rows.join(margin, dim, "left").select(*dims, "tokens", (F.col("weight") * F.coalesce("f", F.lit(0.0))).alias("weight"))
+            step = rows.groupBy(dim).agg(F.sum(weight).alias("m")).join(goals[dim], dim).select(dim, "m", "target")
+            seen = Observation()
+            new = rows.join(step, dim, "left").observe(seen, F.max(F.abs(F.col("m") - F.col("target"))).alias("off"))
             # a step reads the cells twice, so unwritten steps would double the plan each time
-            rows = stored(rows, f"mix-{k}-{dim}")
-    return rows
-
-
-def scale_for(cells: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> float:
-    """The factor by which min(1, factor * ratio) keeps the share of all tokens; one number a round comes to the driver."""
-    total = cells.agg(F.sum("tokens")).first()[0]
-    if not total:
-        return 1.0
-    scale = share
-    for _ in range(rounds):
-        got = cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(scale) * F.col("ratio")))).first()[0]
-        if not got or abs(got / (share * total) - 1) < 1e-9:
+            rows = stored(new.select(*dims, "tokens", (F.col("raw") * F.coalesce(F.col("target") / F.col("m"), F.lit(0.0))).alias("raw")), f"mix-{k}-{dim}")
+            off = max(off, seen.get["off"] or 0.0)
+        if off <= TOLERANCE:
             break
-        scale *= share * total / got
-    return scale
+    return rows.select(*dims, "tokens", weight.alias("weight"), (weight / part).alias("ratio"))
 
 
 def cell_probabilities(docs_f: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE) -> DataFrame:
     """DIMS, weight and probability of every cell with tokens."""
     cells = stored(docs_f.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "mix-tokens")
     goal = {d: default_targets(cells, d) for d in DIMS} | (targets or {})
-    raked = rake(cells, goal)
-    whole = raked.agg(F.sum("tokens")).first()[0] or 1
-    ratio = stored(raked.select(*DIMS, "tokens", "weight", (F.col("weight") / (F.col("tokens") / F.lit(whole))).alias("ratio")), "mix-ratio")
-    p = F.least(F.lit(1.0), F.lit(scale_for(ratio, share)) * F.col("ratio"))
-    return stored(ratio.select(*DIMS, "weight", p.alias("probability")), "mix-probabilities")
+    raked = rake(cells, {d: attainable(cells, d, t, share) for d, t in goal.items()}, share)
+    return stored(raked.select(*DIMS, "weight", F.least(F.lit(1.0), F.lit(share) * F.col("ratio")).alias("probability")), "mix-probabilities")
 
 
 def drawn(doc_id: Column, probability: Column) -> Column:
@@ -95,44 +117,52 @@ def drawn(doc_id: Column, probability: Column) -> Column:
     return F.coalesce(u < probability, F.lit(True))
 
 
-def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE) -> DataFrame:
+def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, topic: Column | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight (of its cell), probability and sampled of every document."""
-    docs_f = features(docs)
+    docs_f = features(docs, topic)
     table = cell_probabilities(docs_f, targets, share)
     rows = docs_f.join(table, list(DIMS), "left").withColumn("probability", F.coalesce("probability", F.lit(1.0))).withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     return rows.withColumn("sampled", drawn(F.col("doc_id"), F.col("probability")))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, topic: Column | None = None) -> DataFrame:
     """The documents that are drawn, with their columns. Texts move only if the table of cells is too large for the optimizer to broadcast."""
-    table = cell_probabilities(features(docs), targets, share)
+    table = cell_probabilities(features(docs, topic), targets, share)
     table = table.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMS], F.col("probability").alias("_mix_p"))
-    keys = {"_k_source": F.coalesce("source", F.lit("")), "_k_lang": F.coalesce("lang", F.lit("")), "_k_topic": topic_of(F.coalesce("text", F.lit("")))}
+    keys = {f"_k_{d}": c for d, c in keys_of(topic).items()}
     same = [F.col(f"_k_{d}") == F.col(f"_mix_{d}") for d in DIMS]
     rows = docs.withColumns(keys).join(table, same, "left")
     return rows.where(drawn(F.col("doc_id"), F.coalesce("_mix_p", F.lit(1.0)))).select(docs.columns)
 
 
 def _oracle() -> str:
+    word = "'[^\\x20\\x09-\\x0D]"
     steps = [
-        "f as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, 't' || (('0x' || substr(md5(lower(regexp_extract(coalesce(text, ''), '([A-Za-z]{6,})', 1))), 1, 1))::int % 8) as topic, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as n_tokens from documents)",
+        f"m as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, len(regexp_extract_all(coalesce(text, ''), {word}+'))::bigint as n_tokens, translate(array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), {word}{{{LONG},}}'), lambda w: substr(md5(w), 32, 1)), ''), '89abcdef', '01234567') as marks from documents)",
+        f"n as (select *, list_transform(range({TOPICS}), lambda k: length(marks) - length(replace(marks, k::varchar, ''))) as counts from m)",
+        "f as (select doc_id, source, lang, case when length(marks) > 0 then 't' || (list_position(counts, list_max(counts)) - 1) else 'none' end as topic, n_tokens from n)",
         "c as (select source, lang, topic, sum(n_tokens)::bigint as tokens from f group by all)",
     ]
     for d in DIMS:
-        steps.append(f"t_{d} as (select {d}, pow(t, {TEMPERATURE}) / sum(pow(t, {TEMPERATURE})) over () as target from (select {d}, sum(tokens)::double as t from c group by {d}))")
-    steps.append("r0 as materialized (select source, lang, topic, tokens, tokens::double / sum(tokens) over () as weight from c where tokens > 0)")
+        steps.append(f"h_{d} as materialized (select {d}, pow(t, {TEMPERATURE}) / sum(pow(t, {TEMPERATURE})) over () as target, t * {HEADROOM} / ({SHARE} * sum(t) over ()) as most from (select {d}, sum(tokens)::double as t from c group by {d} having sum(tokens) > 0))")
+        steps.append(f"l_{d}_0 as (select 1.0::double as factor)")
+        for k in range(ROUNDS):
+            steps.append(f"l_{d}_{k + 1} as materialized (select coalesce((1 - sum(case when factor * target >= most then most else 0 end)) / nullif(sum(case when factor * target >= most then 0 else target end), 0), any_value(factor)) as factor from h_{d}, l_{d}_{k})")
+        steps.append(f"t_{d} as materialized (select {d}, least(factor * target, most) as target from h_{d}, l_{d}_{ROUNDS})")
+    steps.append(f"r0 as materialized (select source, lang, topic, tokens, tokens::double / sum(tokens) over () as raw, tokens::double / sum(tokens) over () / {SHARE} as cap from c where tokens > 0)")
+    steps.append("on_0 as (select true as go)")
     n = 0
-    for _ in range(SWEEPS):
+    for k in range(SWEEPS):
+        off = []
         for d in DIMS:
-            steps.append(f"r{n + 1} as materialized (select r.source, r.lang, r.topic, r.tokens, r.weight * t.target / m.m as weight from r{n} r join t_{d} t using ({d}) join (select {d}, sum(weight) as m from r{n} group by {d}) m using ({d}))")
+            steps.append(f"m{n} as materialized (select {d}, m, target from (select {d}, sum(least(raw, cap)) as m from r{n} group by {d}) join t_{d} using ({d}))")
+            steps.append(f"r{n + 1} as materialized (select r.source, r.lang, r.topic, r.tokens, case when go then r.raw * m.target / m.m else r.raw end as raw, r.cap from r{n} r join m{n} m using ({d}), on_{k})")
+            off.append(f"(select max(abs(m - target)) from m{n})")
             n += 1
-    steps.append(f"q as materialized (select source, lang, topic, tokens, weight, weight / (tokens / sum(tokens) over ()) as ratio from r{n})")
-    steps.append(f"s0 as materialized (select {SHARE}::double as scale)")
-    for k in range(ROUNDS):
-        steps.append(f"s{k + 1} as materialized (select scale * {SHARE} * (select sum(tokens) from q) / (select sum(tokens * least(1.0, s.scale * ratio)) from q) as scale from s{k} s)")
-    steps.append(f"p as (select source, lang, topic, weight, least(1.0, (select scale from s{ROUNDS}) * ratio) as probability from q)")
+        steps.append(f"on_{k + 1} as materialized (select go and greatest({', '.join(off)}) > {TOLERANCE} as go from on_{k})")
+    steps.append(f"p as (select source, lang, topic, least(raw, cap) as weight, least(1.0, least(raw, cap) / cap) as probability from r{n})")
     return "with " + ",\n".join(steps) + """
-select doc_id, source, lang, topic, n_tokens, round(coalesce(weight, 0), 9) as weight, round(coalesce(probability, 1), 9) as probability,
+select doc_id, source, lang, topic, n_tokens, round(coalesce(weight, 0), 6) as weight, round(coalesce(probability, 1), 6) as probability,
 coalesce(('0x' || substr(md5(doc_id::varchar), 1, 13))::bigint::double / 4503599627370496.0 < coalesce(probability, 1), true) as sampled
 from f left join p using (source, lang, topic)"""
 
@@ -142,4 +172,4 @@ ORACLE = _oracle()
 
 def report(docs: DataFrame) -> DataFrame:
     rows = calibrated(docs)
-    return rows.select("doc_id", *DIMS, "n_tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), "sampled")
+    return rows.select("doc_id", *DIMS, "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")

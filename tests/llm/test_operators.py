@@ -432,13 +432,37 @@ def test_scores_beat_the_base_on_held_out(spark, sf):
 
 def test_raking_meets_targets(spark, documents):
     goal = spark.createDataFrame([("en", 0.4), ("de", 0.3), ("fr", 0.2), ("es", 0.1)], "lang string, target double")
-    f = mixing.features(documents)
-    cells = f.groupBy(*mixing.DIMS).agg(F.sum("n_tokens").alias("tokens"))
-    even = {d: mixing.default_targets(cells, d) for d in mixing.DIMS} | {"lang": goal}
-    raked = mixing.rake(cells, even, sweeps=12).toPandas()
-    got = raked.groupby("lang")["weight"].sum()
-    for r in goal.collect():
-        assert got[r["lang"]] == pytest.approx(r["target"], abs=0.02)
+    cells = mixing.features(documents).groupBy(*mixing.DIMS).agg(F.sum("n_tokens").alias("tokens"))
+    targets = {d: mixing.default_targets(cells, d) for d in mixing.DIMS} | {"lang": goal}
+    targets = {d: mixing.attainable(cells, d, t, 0.3) for d, t in targets.items()}
+    raked = mixing.rake(cells, targets, 0.3).toPandas()
+    assert (raked["ratio"] <= 1 / 0.3 + 1e-9).all()
+    for d in mixing.DIMS:
+        got = raked.groupby(d)["weight"].sum()
+        for r in targets[d].collect():
+            assert got[r[d]] == pytest.approx(r["target"], abs=3e-5)
+
+
+def test_drawn_tokens_meet_targets(spark):
+    # nine tenths of the tokens from one source; flattened targets are 82.3 and 17.7
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(["alpha", "gamma", "delta", "omega"], k=20)), "big" if k % 10 else "small", "en") for k in range(4000)], "doc_id long, text string, source string, lang string")
+    for share in (0.5, 0.8):
+        got = mixing.calibrated(docs, share=share, topic=F.lit("one")).toPandas()
+        expected = (got["probability"] * got["n_tokens"]).groupby(got["source"]).sum()
+        want = 0.9**0.7 / (0.9**0.7 + 0.1**0.7)
+        want = max(want, 1 - mixing.HEADROOM * 0.1 / share)
+        assert expected.sum() == pytest.approx(share * got["n_tokens"].sum(), rel=1e-4)
+        assert expected["big"] / expected.sum() == pytest.approx(want, abs=3e-5)
+        real = got[got["sampled"]].groupby("source")["n_tokens"].sum()
+        assert real["big"] / real.sum() == pytest.approx(want, abs=0.02)
+
+
+def test_topics_come_from_the_whole_text(spark):
+    tail = " ".join(["zweite"] * 500)
+    rows = [(1, "erstes " * 3 + tail), (2, "anderes " * 3 + tail), (3, "日本語の文章です " * 4), (4, "a b c"), (5, None)]
+    got = {r["doc_id"]: r["topic"] for r in mixing.features(make(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    assert got[1] == got[2] != "none" and got[3] != "none" and got[4] == got[5] == "none"
 
 
 # 8 HTML
