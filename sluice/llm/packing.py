@@ -3,8 +3,8 @@
 Documents become token ids and, where longer than a sequence, pieces. Pieces are dealt over shards of bounded
 size by a hash. Each shard is packed best-fit decreasing; then its underfull bins exchange pieces one for one,
 one for two, or move a piece, whenever that raises the sum of squared fills, so that fill gathers in few bins and others
-empty. The bins that stay underfull are dealt again over fewer shards and searched once more, their pieces free
-to move. No task holds more than a shard.
+empty; the search ends when no exchange gains. The bins that stay underfull are dealt again over fewer shards and packed anew, as long as that makes
+them fewer. No task holds more than a shard.
 
 Input cases: a null text counts as empty (one piece: the end id); equal rows are packed each for itself, pieces
 of rows with one id are told apart by a row's own number; ties go to the lower bin; an empty table gives no row.
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from sluice.llm.common import ship, stored, texts_of
 
 CAPACITY = 1024
 SHARD = 2500
-#: Bins below this share of the capacity take part in the second round.
+#: Bins below this share of the capacity are dealt again.
 UNDERFULL = 0.995
 CACHE = 500_000
 SPECIAL = "<|endoftext|>"
@@ -141,59 +140,95 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 4) -> list[list[int]]:
-    """Raise the sum of squared fills by moves, one-for-one and two-for-one exchanges, until no bin gains or the rounds end.
+class Stock:
+    """Pieces that other bins may take, one by one or two of one bin, by size; what has gone is passed over when it is met."""
 
-    The underfull bin with most fill takes from emptier ones whatever best closes its gap; it only ever
-    gains, so each exchange raises the squared fill. Emptied bins go.
+    def __init__(self, capacity: int):
+        self.lists: list[list] = [[] for _ in range(capacity + 1)]
+        self.mask = 0
+
+    def add(self, size: int, item) -> None:
+        self.lists[size].append(item)
+        self.mask |= 1 << size
+
+    def largest(self, most: int, over: int, good) -> tuple[int, object] | None:
+        """The largest item of at most `most` and more than `over`."""
+        mask = self.mask & ((1 << (most + 1)) - 1)
+        while (size := mask.bit_length() - 1) > over:
+            held = self.lists[size]
+            while held:
+                if good(held[-1]):
+                    return size, held[-1]
+                held.pop()
+            self.mask &= ~(1 << size)
+            mask &= ~(1 << size)
+        return None
+
+
+def one_a_size(pieces: list[int], size_of: list[int]) -> list[int]:
+    """One piece of each size; a bin holds few different sizes, since they add up to the capacity at most."""
+    return list({size_of[p]: p for p in pieces}.values())
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Raise the sum of squared fills by moves, one-for-one and two-for-one exchanges, until no bin gains.
+
+    From the fullest on, each underfull bin takes from emptier ones whatever best closes its gap: a piece for none, one or two of its own, or two
+    of one bin for none or one. It only ever gains, so each exchange raises the squared fill and the search ends. Emptied bins go.
     """
     bins = [[*b] for b in bins]
     size = [int(lengths[b].sum()) for b in bins]
     size_of = lengths.tolist()
-    for _ in range(rounds):
-        open_bins = sorted((b for b in range(len(bins)) if 0 < size[b] < capacity), key=lambda b: (-size[b], b))
+    where = np.zeros(len(lengths), int).tolist()
+    changed = True
+    while changed:
         changed = False
-        for k, a in enumerate(open_bins):
-            gap = capacity - size[a]
-            donors = [b for b in reversed(open_bins[k + 1 :]) if size[b]][:64]
-            if not gap or not donors:
-                continue
-            stock = sorted((size_of[p], b, p) for b in donors for p in bins[b])
-            sizes = [s for s, _, _ in stock]
-            # a piece that comes in, for none, one or two of this bin's own that go out
-            outs = [(0, ())] + [(size_of[p], (p,)) for p in bins[a]] + [(size_of[p] + size_of[q], (p, q)) for i, p in enumerate(bins[a][:12]) for q in bins[a][i + 1 : 12]]
-            best = None
-            for out, gone in outs:
-                j = bisect_left(sizes, out + gap + 1) - 1
-                if j >= 0 and (gain := sizes[j] - out) > (best[0] if best else 0):
-                    b = stock[j][1]
-                    if size[b] - gain <= capacity:
-                        best = gain, gone, [stock[j]]
-                        if gain == gap:
+        order = sorted((b for b in range(len(bins)) if 0 < size[b] < capacity), key=lambda b: (-size[b], b))
+        free = bytearray(len(size_of))
+        one, two = Stock(capacity), Stock(capacity)
+        for b in reversed(order):
+            for p in bins[b]:
+                where[p], free[p] = b, 1
+                one.add(size_of[p], p)
+            few = one_a_size(bins[b], size_of)
+            twins = [(p, q) for p in few for q in bins[b] if q != p and size_of[q] == size_of[p]][: len(few)]
+            for p, q in [(p, q) for i, p in enumerate(few) for q in few[i + 1 :]] + twins:
+                two.add(size_of[p] + size_of[q], (p, q))
+        whole = lambda t: free[t[0]] and free[t[1]] and where[t[0]] == where[t[1]]
+        single = free.__getitem__
+        for a in order:
+            for p in bins[a]:
+                free[p] = 0
+            while (gap := capacity - size[a]) and bins[a]:
+                few = one_a_size(bins[a], size_of)
+                outs = {0: ()} | {size_of[p]: (p,) for p in few}
+                pairs = {size_of[p] + size_of[q]: (p, q) for i, p in enumerate(few) for q in few[i + 1 :]}
+                best = 0, (), ()
+                for stock, good, gone in ((one, single, outs | {k: v for k, v in pairs.items() if k not in outs}), (two, whole, outs)):
+                    for out, go in gone.items():
+                        if best[0] == gap:
                             break
-            if (best is None or best[0] < gap) and len(stock) > 1:
-                # two pieces of one donor for one of this bin's own, or for none
-                for b in donors[:16]:
-                    own = sorted((size_of[p], p) for p in bins[b])[:12]
-                    for i, (s, p) in enumerate(own):
-                        for t, q in own[i + 1 :]:
-                            for out, gone in outs[: 1 + len(bins[a])]:
-                                if (best[0] if best else 0) < (gain := s + t - out) <= gap:
-                                    best = gain, gone, [(s, b, p), (t, b, q)]
-            if best:
+                        got = stock.largest(min(out + gap, capacity), out + best[0], good)
+                        if got:
+                            best = got[0] - out, go, (got[1],) if stock is one else got[1]
                 gain, gone, come = best
-                b = come[0][1]
+                if not gain:
+                    break
+                b = where[come[0]]
+                for p in come:
+                    bins[b].remove(p)
+                    free[p], where[p] = 0, a
                 for p in gone:
                     bins[a].remove(p)
+                    for q in one_a_size(bins[b], size_of):
+                        two.add(size_of[p] + size_of[q], (p, q))
                     bins[b].append(p)
-                for _, _, p in come:
-                    bins[b].remove(p)
-                    bins[a].append(p)
+                    free[p], where[p] = 1, b
+                    one.add(size_of[p], p)
+                bins[a] += come
                 size[a] += gain
                 size[b] -= gain
                 changed = True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 
@@ -205,7 +240,7 @@ def _pack_group(capacity: int, tag: int):
         seq, off, fill = (np.empty(len(pdf), np.int64) for _ in range(3))
         for k, b in enumerate(bins):
             ends = np.cumsum(lengths[b])
-            seq[b] = ((int(key[0]) * 2 + tag) << 24) + k
+            seq[b] = (tag << 56) + (int(key[0]) << 24) + k
             off[b] = ends - lengths[b]
             fill[b] = ends[-1]
         return pdf.assign(sequence_id=seq, offset=off, fill=fill)
@@ -219,19 +254,30 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     ship(spark)
     clash = [c for c in pieces.columns if c in ("uid", "shard", "sequence_id", "offset", "fill")]
     rows = stored(pieces.drop(*clash).withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
-    n = rows.where(F.col("length") < capacity).count()
     full = rows.where(F.col("length") >= capacity).select("*", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    dealt = rows.where(F.col("length") < capacity).withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(max(1, n // shard))))
-    schema = f"{kinds}, shard long, sequence_id long, offset long, fill long"
-    first = stored(dealt.groupBy("shard").applyInPandas(_pack_group(capacity, 0), schema), "pack-first")
-    under = F.col("fill") < int(capacity * UNDERFULL)
-    left = first.where(under)
-    m = left.count()
-    again = left.drop("sequence_id", "offset", "fill").withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(max(1, m // shard))))
-    second = again.groupBy("shard").applyInPandas(_pack_group(capacity, 1), schema)
+    # what is dealt over shards: number and length; the rest joins again at the end
+    left = rows.where(F.col("length") < capacity).select("uid", "length")
+    schema = "uid long, length long, shard long, sequence_id long, offset long, fill long"
+    done, round_no, open_bins = None, 0, None
+    while True:
+        n = left.count()
+        if not n:
+            break
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(round_no)), F.lit(max(1, n // shard))))
+        packed = stored(dealt.groupBy("shard").applyInPandas(_pack_group(capacity, round_no), schema), f"pack-{round_no}")
+        under = F.col("fill") < int(capacity * UNDERFULL)
+        before, open_bins = open_bins, packed.where(under).select("sequence_id").distinct().count()
+        # dealt again as long as that makes fewer underfull bins by a hundredth
+        last = open_bins == 0 or n <= shard or (before is not None and 100 * open_bins > 99 * before)
+        part = packed if last else packed.where(~under)
+        done = part if done is None else done.unionByName(part)
+        if last:
+            break
+        left, round_no = packed.where(under).select("uid", "length"), round_no + 1
     out = [*rows.drop("uid").columns, "sequence_id", "offset"]
-    return full.select(out).unionByName(first.where(~under).select(out)).unionByName(second.select(out))
+    if done is None:
+        return full.select(out)
+    return full.select(out).unionByName(rows.join(done.select("uid", "sequence_id", "offset"), "uid").select(out))
 
 
 def pack_documents(docs: DataFrame, paths: tuple, end_id: int = 2, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:

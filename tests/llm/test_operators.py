@@ -1,5 +1,6 @@
 """The operators of the subpackage against brute force, round trips, held-out rows and awkward input."""
 
+import functools
 import math
 import random
 import re
@@ -256,6 +257,37 @@ def test_encoder_equals_the_library(text):
         assert np.frombuffer(enc.ids(t), "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids
 
 
+@given(st.lists(st.sampled_from([*"ab1 \n\t.,'!-", "é", "日", "\u00a0", "Don't ", " the", "  ", "12 "]), max_size=40).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_encoder_equals_the_library_on_any_text(text):
+    enc, tk = _encoders()
+    assert np.frombuffer(enc.ids(text), "<u4").tolist() == tk.encode(text, add_special_tokens=False).ids
+
+
+@functools.cache
+def _encoders():
+    from tokenizers import Tokenizer
+
+    return packing.Encoder(*queries.encoder_paths()), Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_local_search_comes_near_the_volume():
+    x = np.random.default_rng(1).integers(200, 521, 1200)
+    first = packing.best_fit(x, 1024)
+    assert len(packing.local_search(first, x, 1024)) <= len(first) - 6
+
+
+@pytest.mark.parametrize("shard", [50, 2500])
+def test_packing_places_every_piece_once(spark, shard):
+    rng = random.Random(4)
+    sizes = [rng.choice([1024, rng.randint(1, 1023), rng.randint(200, 520)]) for _ in range(900)]
+    got = packing.pack(spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "piece long, length long"), shard=shard).toPandas()
+    assert got.set_index("piece")["length"].to_dict() == dict(enumerate(sizes))
+    for _, seq in got.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert seq["offset"].tolist() == [0, *np.cumsum(seq["length"])[:-1]] and seq["length"].sum() <= 1024
+    assert got["sequence_id"].nunique() <= 1.06 * sum(sizes) / 1024
+
+
 # 5 vectors
 
 def test_vectors_against_brute_force(spark):
