@@ -55,6 +55,10 @@ def _rows(mean: np.ndarray, weight: np.ndarray) -> list[dict]:
     return [{"mean": m, "weight": w} for m, w in zip(mean.tolist(), weight.tolist(), strict=True)]
 
 
+#: Parts of a key whose digests are merged first.
+PARTS = 64
+
+
 def digest_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, centroids) of a column of values: a digest for each key and batch of rows, then one for each key."""
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
@@ -80,7 +84,11 @@ def merge_by(df: DataFrame, keys: list[str], centroids: str = "centroids") -> Da
         weight = np.array([x["weight"] for c in parts for x in c], float)
         return pd.DataFrame([(*key, _rows(*compress(mean, weight)))], columns=[*keys, "centroids"])
 
-    return df.groupBy(*keys).applyInPandas(final, f"{kinds}, centroids {CENTROIDS}")
+    schema = f"{kinds}, centroids {CENTROIDS}"
+    # first as many parts of each key as there are tasks that made digests, then these: no task gets all digests of a hot key
+    parts = df.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    some = parts.groupBy(*keys, "_part").applyInPandas(lambda key, pdf: final(key[:-1], pdf), schema)
+    return some.groupBy(*keys).applyInPandas(final, schema)
 
 
 def summary(mean: np.ndarray, weight: np.ndarray) -> list[float]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Date patterns of strftime in Spark's letters.
@@ -29,6 +29,12 @@ def to_micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def jsonable(df: DataFrame) -> DataFrame:
+    """df with columns that JSON has no form for (decimals, dates, times, bytes) as text."""
+    plain = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
+    return df.select(*[F.col(f"`{c}`") if kind in plain else F.col(f"`{c}`").cast("string").alias(c) for c, kind in df.dtypes])
+
+
 def array_literal(a: Column) -> Column:
     """{a,b,c}"""
     return F.concat(F.lit("{"), F.array_join(a.cast("array<string>"), ","), F.lit("}"))

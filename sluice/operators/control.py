@@ -8,21 +8,41 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.operators.ordering import running_sum
+
 #: Fixed values of the controller: smoothing, band, overshoot, cooldown seconds, longest pause.
 ALPHA, LOW, HIGH, OVERSHOOT, COOLDOWN, MAX_PAUSE = 0.4, 0.9, 1.1, 2.0, 60.0, 1.0
 MAX_RETRIES = 3
 
 
-def connection_deltas(events: DataFrame, day: Column) -> DataFrame:
-    """Connections over time from init (+1) and killed (-1) messages; running sums go by day and are carried over by the days' totals.
+def connection_deltas(events: DataFrame) -> DataFrame:
+    """Connections over time from init (+1) and killed (-1) messages. events: seq (order, unique), delta.
 
-    events: seq (order, unique), delta. No task sees more than a day's rows.
+    Rows are range-partitioned by seq; sums run within a partition and start from the sum of those before, so no task sees all rows.
     """
-    e = events.withColumn("day", day)
-    days = e.groupBy("day").agg(F.sum("delta").alias("d"))
-    before = days.withColumn("carry", F.coalesce(F.sum("d").over(Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.sum("delta").over(Window.partitionBy("day").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return e.withColumn("own", own).join(before.select("day", "carry"), "day").withColumn("active", F.col("own") + F.col("carry")).drop("own", "carry", "day")
+    return running_sum(events, "seq", "delta", "active")
+
+
+def cycle_rate(report: DataFrame) -> DataFrame:
+    """(window_start, rate): the rate of whole cycles in each window, 0 where none ended."""
+    return report.groupBy("window_start").agg(F.coalesce(F.max(F.when(F.col("id") == "__cycle__", F.col("period_ops_s"))), F.lit(0)).cast("long").alias("rate"))
+
+
+def controller_run(rates: DataFrame, target: float, workers: int = 1, ramp_s: float = 0.0, seconds: int = 10) -> DataFrame:
+    """The whole controller over the ordered rates of each run (grp, seq, rate): smoothed rate, workers, pause and decision after each step.
+
+    A run has a row each ten seconds, so its rates fit into a task; one pass, with the state carried along.
+    """
+    import pandas as pd
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        s, out = RateState(workers=workers), []
+        for seq, rate in pdf.sort_values("seq")[["seq", "rate"]].itertuples(index=False):
+            s, what = rate_step(s, float(seq) * seconds, float(rate), target, ramp_s)
+            out.append((key[0], seq, rate, s.smoothed, s.workers, s.pause, what))
+        return pd.DataFrame(out, columns=["grp", "seq", "rate", "smoothed", "workers", "pause", "decision"])
+
+    return rates.groupBy("grp").applyInPandas(fold, "grp string, seq long, rate double, smoothed double, workers long, pause double, decision string")
 
 
 def assign_schedule(events: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -107,17 +127,19 @@ def rate_step(s: RateState, now: float, rate: float, target: float, ramp_s: floa
 def rate_decisions(rates: DataFrame, target: float) -> DataFrame:
     """The controller folded over the ordered rates of each group (grp, seq, rate), as one expression: smoothed rate and band of each step.
 
-    One run has one row each ten seconds, so a group's rates fit an array.
+    One run has one row each ten seconds, so a group's rates fit into a task; one pass with the last value carried along.
     """
-    rows = rates.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("seq", "rate"))).alias("r"))
-    zero = F.array().cast("array<struct<seq:bigint,rate:double,smoothed:double>>")
+    import pandas as pd
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.coalesce(F.try_element_at(acc, F.lit(-1))["smoothed"], F.lit(0.0))
-        sm = F.when(x["rate"] <= 0, last).when(last == 0, x["rate"]).otherwise(x["rate"] * ALPHA + last * (1 - ALPHA))
-        return F.concat(acc, F.array(F.struct(x["seq"].alias("seq"), x["rate"].alias("rate"), sm.alias("smoothed"))))
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, last, smoothed = pdf.sort_values("seq"), 0.0, []
+        for rate in pdf["rate"]:
+            if rate > 0:
+                last = rate * ALPHA + last * (1 - ALPHA) if last else rate
+            smoothed.append(last)
+        return pdf[["seq", "rate"]].assign(grp=key[0], smoothed=smoothed)[["grp", "seq", "rate", "smoothed"]]
 
-    out = rows.select("grp", F.explode(F.aggregate("r", zero, step)).alias("s")).select("grp", "s.seq", "s.rate", "s.smoothed")
+    out = rates.groupBy("grp").applyInPandas(fold, "grp string, seq long, rate double, smoothed double")
     c = F.when(F.col("smoothed") > 0, F.col("smoothed")).otherwise(F.col("rate"))
     band = F.when(F.col("rate") <= 0, "idle").when(c.between(LOW * target, HIGH * target), "steady").when(c < LOW * target, "grow").when(c < OVERSHOOT * target, "pause").otherwise("shrink")
     return out.withColumn("decision", band)

@@ -33,6 +33,16 @@ def ranked(df: DataFrame, order: Sequence[str], name: str = "rn", parts: int | N
     return cut.join(F.broadcast(sizes.select("_p", "lo", "base")), "_p").withColumn(name, F.col("_m") - F.col("lo") + F.col("base")).drop("_p", "_m", "lo", "base")
 
 
+def running_sum(df: DataFrame, order: str, value: str, name: str, parts: int | None = None) -> DataFrame:
+    """df with the sum of value up to each row in order (unique), without bringing all rows into one task."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = stored(df.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id()), "sums")
+    own = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    totals = cut.groupBy("_p").agg(F.sum(value).alias("_t")).select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
+    return cut.withColumn("_own", F.sum(value).over(own)).join(F.broadcast(totals), "_p").withColumn(name, F.col("_own") + F.col("_base")).drop("_p", "_own", "_base")
+
+
 def sort_subset(df: DataFrame, sort_by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Only the sort-by columns sorted; the others keep the given order. The sorted part is joined back by row number."""
     rest = [c for c in df.columns if c not in sort_by]

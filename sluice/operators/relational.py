@@ -157,6 +157,36 @@ def nearest_for(vectors: DataFrame, queries: list[tuple[int, Sequence[float]]],
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 2_000, shard: int = 100_000) -> DataFrame:
+    """(query_id, id, rank): the k nearest rows to each of any number of queries. Each task holds a block of queries against a shard of rows and keeps k a query."""
+    import numpy as np
+    import pandas as pd
+
+    blocks = max(1, -(-queries.count() // block))
+    shards = max(1, -(-vectors.count() // shard))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    rows = vectors.select(id_col, vector_col, own(shards).alias("shard"), every(blocks).alias("block"), F.lit(False).alias("query"))
+    asks = queries.select(id_col, vector_col, every(shards).alias("shard"), own(blocks).alias("block"), F.lit(True).alias("query"))
+
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, v = pdf[pdf["query"]], pdf[~pdf["query"]].sort_values(id_col)
+        out = []
+        if len(v):
+            x, ids = np.stack(v[vector_col].to_numpy()).astype(float), v[id_col].to_numpy()
+            for i, one in zip(q[id_col], q[vector_col], strict=True):
+                d = np.sqrt(((x - np.asarray(one, float)) ** 2).sum(1))
+                # all that are as near as the k-th, so that ties go by id
+                at = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+                at = at[np.argsort(d[at], kind="stable")][:k]
+                out.append(pd.DataFrame({"query_id": i, id_col: ids[at], "distance": d[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], id_col: [], "distance": []})
+
+    near = rows.unionByName(asks).groupBy("shard", "block").applyInPandas(local, f"query_id long, {id_col} long, distance double")
+    w = Window.partitionBy("query_id").orderBy("distance", id_col)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def as_of_join(left: DataFrame, right: DataFrame, on: str, ts: str, value: str) -> DataFrame:
     """Each left row with the right's last value at or before it, by one union and one window for each key."""
     both = left.select(on, ts, *[c for c in left.columns if c not in (on, ts)], F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_left"))

@@ -46,6 +46,11 @@ def window_report(m: DataFrame, seconds: int = WINDOW_SECONDS, offset: int = 0,
     return g.withColumn("tot_ops", F.sum("period_ops").over(running)).withColumn("period_ops_s", F.expr(f"period_ops div {seconds}"))
 
 
+def report_times(report: DataFrame, seconds: int = WINDOW_SECONDS, buffer: int = 8, delay: int = 0) -> DataFrame:
+    """The report with the time at which each window is told: its end, the buffer for late rows and the delay."""
+    return report.withColumn("report_at", F.col("window_start") + F.make_interval(secs=F.lit(seconds + buffer + delay)))
+
+
 def active_threads(m: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """How many workers reported in each window, and whether that is fewer than in the run so far (a completeness check)."""
     n = m.groupBy(F.window("ts", f"{seconds} seconds").alias("w")).agg(F.count_distinct("worker").alias("threads"))

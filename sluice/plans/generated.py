@@ -65,6 +65,35 @@ def gen_seeder_golden(spark: SparkSession, sf: str) -> DataFrame:
     return bp.generate(spark, item, 1).select(F.substring("v", 1, 8).alias("v")).limit(3)
 
 
+#: The published rows of a table with one string and one integer column, both seeded with 0, made in two shards.
+SEEDER = "3Ml 455 9EV 349 B9O 266 EuR 730 Got 902 H1a 64 IVi 75 IkS 305 NcM 750 Nn2 150 RXg 995 ULm 409 VOO 128 WTc 427 gBm 972 hXE 730 lqC 550 o6H 364 sD8 867 yiq 556".split()
+
+
+def gen_seeder_rows(spark: SparkSession, sf: str) -> DataFrame:
+    item = {"count": 20, "columns": {"mystr": {"type": "string", "args": {"seed": 0, "min": 3, "max": 3}}, "myint": {"type": "integer", "args": {"seed": 0, "max": 1000}}}}
+    return bp.generate(spark, item, 2)
+
+
+def gen_fast_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of an array differ; bounds of 0 are bounds."""
+    args = {"string": {"min": 0, "max": 2}, "integer": {"min": 0, "max": 9}, "float": {"min": 0, "max": 1}}
+    item = {"count": 3000, "columns": {k: {"type": k, "args": a | {"seed": 1}} for k, a in args.items()} | {"several": {"type": "integer", "args": {"min": 0, "max": 9, "seed": 2, "array": 3}}}}
+    df = bp.generate_fast(spark, item, 4)
+    parts = F.split(F.regexp_replace("several", "[{}]", ""), ",")
+    return df.agg(F.min(F.length("string")).alias("shortest"), F.max(F.length("string")).alias("longest"), F.min("integer").alias("low"), F.max("integer").alias("high"), F.max("float").alias("top"), F.count_if(F.size(F.array_distinct(parts)) > 1).between(2900, 3000).alias("differ"), F.min(F.size(parts)).alias("size"))
+
+
+def gen_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.range(2000).select(bp.kv_payload("bytes", 16).alias("b"), bp.kv_payload("uuid", 0).alias("u"), bp.kv_payload("int", 0).alias("i"), bp.kv_payload("string", 12).alias("s"), bp.kv_payload("fixed", 0, value="x").alias("f"), bp.amount().alias("a"))
+    return rows.agg(F.min(F.length("b")).alias("n_bytes"), F.count_distinct("u").alias("uuids"), F.count_if(F.col("i") >= 0).alias("ints"), F.min(F.length("s")).alias("n_chars"), F.max("f").alias("fixed"), (F.avg("a").between(480_000, 520_000) & (F.max("a") < 1_000_000) & (F.min("a") >= 0)).alias("amounts"))
+
+
+def gen_unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    v = spark.range(200).select(bp.unit_vector(384).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return v.agg(F.count_if(F.abs(length - 1) < 1e-9).alias("units"), F.count_distinct(F.col("v")[0]).alias("different"), F.max(F.size("v")).alias("size"))
+
+
 def gen_table_fk(spark: SparkSession, sf: str) -> DataFrame:
     """Child rows whose key column has its parent's seed: the first rows of both agree."""
     key = {"type": "uuid", "args": {"seed": 7}}
@@ -116,6 +145,10 @@ QUERIES |= {
     "gen_nulls": (gen_nulls, "select 10000::bigint as n, true as as_asked"),
     "gen_array": (gen_array, "select 500::bigint as good"),
     "gen_seeder_golden": (gen_seeder_golden, "select unnest(['19578af7', '877c814b', 'ceff7bf0']) as v"),
+    "gen_seeder_rows": (gen_seeder_rows, _values([(a, int(b)) for a, b in zip(SEEDER[::2], SEEDER[1::2], strict=True)], "mystr, myint", "mystr, myint::bigint as myint")),
+    "gen_fast_arrays": (gen_fast_arrays, "select 0 as shortest, 2 as longest, 0::bigint as low, 9::bigint as high, 0.0::double as top, true as differ, 3 as size"),
+    "gen_payloads": (gen_payloads, "select 16 as n_bytes, 2000::bigint as uuids, 2000::bigint as ints, 12 as n_chars, 'x' as fixed, true as amounts"),
+    "gen_unit_vectors": (gen_unit_vectors, "select 200::bigint as units, 200::bigint as different, 384 as size"),
     "gen_table_fk": (gen_table_fk, "select 0::bigint as orphans"),
     "gen_bank_orders": (gen_bank_orders, "select 500::bigint as n, 0::bigint as null_keys, 13 as n_cols"),
     "gen_bank_fast": (gen_bank_fast, "select 50000::bigint as n, 0::bigint as null_keys, 13 as n_cols"),

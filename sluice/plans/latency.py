@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import digest
 from sluice.operators import control, stats
-from sluice.session import table
+from sluice.session import shared_dir, table
 from sluice.streaming import reports
 
 #: Windows of these queries: ten minutes, as the table has a row every few minutes.
@@ -43,10 +43,14 @@ def cumulative_ops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cumulative_quantile(spark: SparkSession, sf: str) -> DataFrame:
-    """Quantiles of all measurements so far, by day: a day's digest merged with those before, here exact."""
+    """Quantiles of all measurements so far, by day, exact: a day's counts of each value count for the days after it too, so that each day of an id is a group of its own."""
     m = measurements(spark, sf).withColumn("day", F.date_trunc("day", "ts"))
-    w = Window.partitionBy("id").orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
-    return m.select("id", "day", F.round(F.percentile("latency", F.lit(0.9)).over(w), 4).alias("p90_so_far")).distinct()
+    counts = m.groupBy("id", "day", "latency").agg(F.count("*").alias("n"))
+    # the days of a run are few; no measurement is looked at more than once before it is counted
+    days = counts.groupBy("id").agg(F.array_sort(F.collect_set("day")).alias("days"))
+    later = counts.join(days, "id").select("id", "latency", "n", F.explode(F.filter("days", lambda d: d >= F.col("day"))).alias("day"))
+    sums = later.groupBy("id", "day", "latency").agg(F.sum("n").alias("n"))
+    return sums.groupBy("id", "day").agg(F.round(F.percentile("latency", F.lit(0.9), F.col("n")), 4).alias("p90_so_far"))
 
 
 def completeness(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,8 +102,35 @@ f as (select grp, k, seq, rate, rate as smoothed from r where k = 1
 
 def active_connections(spark: SparkSession, sf: str) -> DataFrame:
     delta = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
-    e = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.date_trunc("day", "ts").alias("day"), delta.alias("delta"))
-    return control.connection_deltas(e, F.col("day")).select("seq", F.col("active").cast("long").alias("active"))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("seq"), delta.alias("delta"))
+    return control.connection_deltas(e).select("seq", F.col("active").cast("long").alias("active"))
+
+
+def controller_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The controller's workers, pause and decisions, with 12 seconds of ramp, over the rates of each function."""
+    return control.controller_run(hourly_rates(spark, sf), 17.0, workers=2, ramp_s=12.0).select("grp", "seq", F.round("smoothed", 6).alias("smoothed"), "workers", F.round("pause", 6).alias("pause"), "decision")
+
+
+def cycle_rate(spark: SparkSession, sf: str) -> DataFrame:
+    m = control.cycles(measurements(spark, sf).withColumn("cycle", F.expr("cycle div 40")))
+    return control.cycle_rate(stats.window_report(m, 3600).withColumn("period_ops_s", F.col("period_ops")))
+
+
+def delayed_reports(spark: SparkSession, sf: str) -> DataFrame:
+    r = stats.window_report(measurements(spark, sf), SECONDS).select("window_start", "id", "period_ops")
+    return stats.report_times(r, SECONDS, delay=30)
+
+
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A live run in which every seventh row arrives an hour late and counts in the window of its arrival; the last, open window is in the result."""
+    import uuid
+
+    events = reports.event_stream(spark, sf, table(spark, sf, "events").schema.simpleString()[len("struct<") : -1].replace(":", " "), "events.parquet")
+    late = F.when(F.col("event_id") % 7 == 0, F.col("ts") + F.expr("interval 1 hour")).otherwise(F.col("ts"))
+    m = events.select("ts", late.alias("arrival"), F.col("event_type").alias("id"), F.col("value").alias("latency"))
+    at = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    reports.run_updates(reports.windowed(reports.late_to_arrival(m, "arrival"), SECONDS).select("window_start", "id", "period_ops", "max"), at, f"{at}-checkpoint").awaitTermination()
+    return reports.latest_windows(spark, at).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "id", "period_ops", "max")
 
 
 def peak_connections(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,8 +210,7 @@ def stream_window_report(spark: SparkSession, sf: str) -> DataFrame:
     events = reports.event_stream(spark, sf, table(spark, sf, "events").schema.simpleString()[len("struct<") : -1].replace(":", " "), "events.parquet")
     m = events.select("ts", F.col("event_type").alias("id"), F.col("value").alias("latency"))
     out = reports.windowed(m, 86_400, quantiles="sketch").select("window_start", "id", "period_ops", "max")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/sluice-streams"
-    q = reports.run_to_table(out, name, f"{base}/{name}")
+    q = reports.run_to_table(out, name, f"{shared_dir(spark)}/{name}")
     q.awaitTermination()
     return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "id", "period_ops", "max")
 
@@ -194,7 +224,28 @@ FINAL = f"select event_type as id, count(*) as tot_ops, avg(value) as mean, {PCT
 BUCKET = "case when d % 10 = 0 then d else d + 10 - d % 10 end + 10"
 CONN = "select event_id as seq, (sum(case event_type when 'signup' then 1 when 'error' then -1 else 0 end) over (order by event_id))::bigint as active from events"
 
+STEP = """case when r.rate > 0 then case when f.smoothed = 0 then r.rate else r.rate * 0.4 + f.smoothed * (1 - 0.4) end else f.smoothed end"""
+C = "coalesce(nullif(sm, 0), rate)"
+#: The controller's rules as a recursive query: a row a step, with smoothed rate, workers, pause and the end of the cooldown.
+CONTROLLER = f"""with recursive r as (select *, row_number() over (partition by grp order by seq) as k from ({RATES_SQL}) x),
+s0 as (select distinct grp from r),
+f as (
+  select grp, 0::bigint as k, 0::bigint as seq, 0.0::double as smoothed, 2::bigint as workers, 0.0::double as pause, 0.0::double as cooldown, '' as decision from s0
+  union all
+  select grp, k, seq, sm, wanted, pause, case when wanted <> workers then now + 72 else cooldown end, case when wanted > workers then 'grow' when wanted < workers then 'shrink' else what end from (
+    select *, case when rate <= 0 or c < 0.9 * 17 then case when ready then case when rate <= 0 then greatest(1, workers + 1) else greatest(workers + 1, ceil(17.0 / (c / greatest(1, workers)))::bigint) end else workers end
+      when c > 1.1 * 17 and not (c < 2 * 17 and over <= 1) and ready and workers > 1 then least(workers, greatest(1, floor(17.0 / (c / workers))::bigint)) else workers end as wanted,
+      case when rate <= 0 or c < 0.9 * 17 then 0.0 when c <= 1.1 * 17 then old * 0.5 when c < 2 * 17 and over <= 1 then over else least(over, 1.0) end as pause,
+      case when rate <= 0 or c < 0.9 * 17 then 'hold' when c <= 1.1 * 17 then 'steady' else 'pause' end as what
+    from (select *, {C} as c, greatest(0.0, workers / 17.0 - workers / {C}) as over, now >= cooldown as ready from (
+      select r.grp, r.k, r.seq, r.rate, {STEP} as sm, f.workers, f.pause as old, f.cooldown, r.seq * 10.0 as now from f join r on r.grp = f.grp and r.k = f.k + 1) a) b) d)
+select grp, seq, round(smoothed, 6) as smoothed, workers, round(pause, 6) as pause, decision from f where k > 0"""
+
 QUERIES = {
+    "controller_run": (controller_run, CONTROLLER),
+    "cycle_rate": (cycle_rate, "select window_start, sum(cycles)::bigint as rate from (select time_bucket(interval 1 hour, ts) as window_start, 0 as cycles from events union all select time_bucket(interval 1 hour, max(ts)), 1 from events group by user_id, event_id // 40) x group by 1"),
+    "delayed_reports": (delayed_reports, f"select time_bucket(interval 10 minutes, ts) as window_start, event_type as id, count(*) as period_ops, time_bucket(interval 10 minutes, ts) + interval {SECONDS + 8 + 30} seconds as report_at from events group by 1, 2"),
+    "stream_late_rows": (stream_late_rows, "select time_bucket(interval 10 minutes, case when event_id % 7 = 0 then ts + interval 1 hour else ts end) as window_start, event_type as id, count(*) as period_ops, max(value) as max from events group by 1, 2"),
     "window_report": (window_report, WINDOW),
     "window_offset_counts": (window_offset_counts, "select time_bucket(interval 10 seconds, ts, interval 7 seconds) as window_start, event_type as id, count(*) as period_ops from events group by 1, 2"),
     "cumulative_ops": (cumulative_ops, f"select id, window_start, tot_ops, period_ops_s from ({WINDOW}) y"),

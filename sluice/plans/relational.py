@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.scalars import jsonable
 from sluice.operators import ordering, relational as rel
-from sluice.session import table
+from sluice.session import stored, table
 
 
 def orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +73,7 @@ def status_flip(spark, sf):
 
 def insert_returning(spark, sf):
     o = orders(spark, sf).select("o_orderkey", "o_custkey")
-    new = o.where("o_orderkey <= 20").select((F.col("o_orderkey") + 10_000_000).alias("o_orderkey"), "o_custkey")
+    new = o.select((F.col("o_orderkey") + 10_000_000).alias("o_orderkey"), "o_custkey")
     return new.select(F.col("o_orderkey").alias("id"))
 
 
@@ -99,8 +100,8 @@ def ledger_balance(spark, sf):
 
 
 def partitioned_read(spark, sf):
-    """One list partition of a table; on a table written with partitionBy the filter prunes folders."""
-    return orders(spark, sf).where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    """Two list partitions of a table that is written with a folder for each; the filter prunes the others."""
+    return stored(orders(spark, sf), "by-priority", "o_orderpriority").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
 def order_exec_join(spark, sf):
@@ -162,8 +163,7 @@ def farthest_of_topk(spark, sf):
 
 def knn_batch(spark, sf):
     e = table(spark, sf, "embeddings")
-    qs = [(r["vec_id"], r["embedding"]) for r in e.where("vec_id < 5").collect()]
-    return rel.nearest_for(e, qs, 3).select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"))
+    return rel.nearest_in_blocks(e, e.where("vec_id % 50 = 0"), 3).select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"))
 
 
 def vector_norm(spark, sf):
@@ -253,7 +253,36 @@ L2 = "list_distance(embedding::double[], (select embedding::double[] from embedd
 COS = "1 - list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0))"
 RN = "row_number() over (order by {}) - 1"
 
+def vector_upsert(spark, sf):
+    """Vectors replaced or added by key, the last of a key's rows winning."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.lit(0).alias("version"))
+    new = e.where("vec_id % 3 = 0").select((F.col("vec_id") + 90).alias("vec_id"), F.transform("embedding", lambda x: -x).alias("embedding"), F.lit(1).alias("version"))
+    return rel.upsert(e, new, ["vec_id"], "version").select("vec_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+
+
+def kv_set(spark, sf):
+    """Keys set to JSON values: the last value of a key stays."""
+    o = orders(spark, sf).select(F.concat(F.lit("orders/"), "o_custkey").alias("k"), F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))).alias("v"), F.col("o_orderkey").alias("version"))
+    return rel.latest(o, ["k"], ["version"]).select("k", "v")
+
+
+def document_insert(spark, sf):
+    """A document more in a collection."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    one = spark.createDataFrame([(10_000_000, "Customer#new")], "c_custkey long, c_name string")
+    return c.unionByName(one)
+
+
+def jsonable_values(spark, sf):
+    o = orders(spark, sf).select("o_orderkey", F.col("o_totalprice").cast("decimal(15,2)").alias("price"), F.col("o_orderdate").cast("date").alias("day"), "o_orderstatus")
+    return jsonable(o)
+
+
 QUERIES = {
+    "vector_upsert": (vector_upsert, "select vec_id, round(first::double, 5) as first from (select vec_id, first, row_number() over (partition by vec_id order by v desc) as k from (select vec_id, embedding[1] as first, 0 as v from embeddings union all select vec_id + 90, -embedding[1], 1 from embeddings where vec_id % 3 = 0) x) y where k = 1"),
+    "kv_set": (kv_set, "select 'orders/' || o_custkey as k, '{\"id\":' || max(o_orderkey) || ',\"status\":\"' || arg_max(o_orderstatus, o_orderkey) || '\"}' as v from orders group by o_custkey"),
+    "document_insert": (document_insert, "select c_custkey, c_name from customer union all select 10000000, 'Customer#new'"),
+    "jsonable_values": (jsonable_values, "select o_orderkey, (o_totalprice::decimal(15,2))::varchar as price, strftime(o_orderdate, '%Y-%m-%d') as day, o_orderstatus from orders"),
     "point_read": (point_read, "select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey = 7"),
     "composite_read": (composite_read, "select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem where (l_orderkey, l_linenumber) = (5, 1)"),
     "bernoulli_mix": (bernoulli_mix, "select case when o_orderkey % 100 < 60 then 'read' when o_orderkey % 100 < 80 then 'update' when o_orderkey % 100 < 90 then 'delete' else 'write' end as op, count(*) as n from orders group by 1"),
@@ -265,7 +294,7 @@ QUERIES = {
     "update_by_key": (update_by_key, "select o_orderkey, o_orderstatus, case when o_orderkey % 5 = 0 then 1.5 else o_totalprice end as o_totalprice from orders"),
     "delete_by_key": (delete_by_key, "select o_orderkey, o_custkey from orders where o_custkey % 4 <> 0"),
     "status_flip": (status_flip, "select o_orderkey, case when o_orderstatus = 'O' and o_orderkey % 2 = 0 then 'F' else o_orderstatus end as o_orderstatus from orders"),
-    "insert_returning": (insert_returning, "select o_orderkey + 10000000 as id from orders where o_orderkey <= 20"),
+    "insert_returning": (insert_returning, "select o_orderkey + 10000000 as id  from orders"),
     "key_pool_recent": (key_pool_recent, "select o_orderkey, o_custkey from orders order by o_orderkey desc limit 1000"),
     "pool_guard": (pool_guard, "select o_custkey, max(o_orderkey) as taken from orders group by o_custkey having count(*) > 1"),
     "event_state": (event_state, "select user_id, arg_max(event_id, (ts, event_id)) as event, max(ts) as ts from events group by user_id"),
@@ -281,7 +310,7 @@ QUERIES = {
     "knn_l2_top3": (knn_l2_top3, f"select vec_id, round({L2}, 4) as distance from embeddings order by {L2}, vec_id limit 3"),
     "knn_cosine_top100": (knn_cosine_top100, f"select vec_id from embeddings order by {COS}, vec_id limit 100"),
     "farthest_of_topk": (farthest_of_topk, f"select arg_max(vec_id, d) as vec_id from (select vec_id, {L2} as d from embeddings order by d, vec_id limit 10) x"),
-    "knn_batch": (knn_batch, "select query_id, vec_id, rank::int as rank from (select q.vec_id as query_id, e.vec_id, row_number() over (partition by q.vec_id order by list_distance(e.embedding::double[], q.embedding::double[]), e.vec_id) as rank from embeddings e, (select * from embeddings where vec_id < 5) q) x where rank <= 3"),
+    "knn_batch": (knn_batch, "select query_id, vec_id, rank::int as rank from (select q.vec_id as query_id, e.vec_id, row_number() over (partition by q.vec_id order by list_distance(e.embedding::double[], q.embedding::double[]), e.vec_id) as rank from embeddings e, (select * from embeddings where vec_id % 50 = 0) q) x where rank <= 3"),
     "vector_norm": (vector_norm, "select vec_id, round(sqrt(list_sum([v::double * v::double for v in embedding])), 4) as norm from embeddings"),
     "vector_fetch": (vector_fetch, "select vec_id, label from embeddings where vec_id in (1, 5, 9)"),
     "merge_sort_lines": (merge_sort_lines, f"select {RN.format('value')} as rn, value from (select concat_ws(chr(9), o_orderkey::varchar, o_orderstatus, o_orderpriority) as value from orders) x"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from sluice.functions.scalars import strftime
 from sluice.operators.control import split_rows
 from sluice.sources.ddl import struct_of
 from sluice.sources.generators import make
@@ -96,56 +97,91 @@ def _chars(seed: int, size: Column | int, alphabet: str) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), n), pick), "")
 
 
-def fast_column(kind: str, args: dict) -> Column:
-    """A column expression with the type's distribution, for tables of any size."""
-    seed = int(args.get("seed") or 0)
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def _fast_value(kind: str, args: dict, seed: int) -> Column:
+    """One value of a column; another seed gives another draw."""
     u = _u(seed, 0)
-    lo, hi = args.get("min"), args.get("max")
-    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    given = lambda name, default: default if args.get(name) is None else args[name]
     if kind == "constant":
-        v = F.lit(args.get("value", "constant"))
-    elif kind == "sequence":
-        return (F.col("id") + int(args.get("start", 0))).cast("long")
-    elif kind == "integer":
-        v = _int(u, 1 if lo is None else lo, 10**9 if hi is None else hi)
-    elif kind == "float":
-        low = 0 if lo is None else lo
-        v = F.round(u * float((hi or 10**6) - 1 - low) + F.lit(float(low)), int(args.get("round", 2)))
-    elif kind == "bool":
-        v = (u > 0.5).cast("int")
-    elif kind == "bit":
-        v = _chars(seed, int(args.get("size", 1)), "01")
-    elif kind == "bytes":
-        v = F.concat(F.lit("\\x"), _chars(seed, int(args.get("size", 20)), "0123456789abcdef"))
-    elif kind == "string":
-        v = F.concat(F.lit(args.get("prefix", "")), _chars(seed, _int(u, lo or 10, hi or 50).cast("int"), letters))
-    elif kind == "json":
-        v = F.to_json(F.struct(_chars(seed, _int(u, max(1, (lo or 10) - 9), max(2, (hi or 50) - 9)).cast("int"), letters).alias("k")))
-    elif kind == "uuid":
+        return F.lit(args.get("value", "constant"))
+    if kind == "integer":
+        return _int(u, given("min", 1), given("max", 10**9))
+    if kind == "float":
+        low = given("min", 0)
+        return F.round(u * float(given("max", 10**6) - 1 - low) + F.lit(float(low)), int(given("round", 2)))
+    if kind == "bool":
+        return (u > 0.5).cast("int")
+    if kind == "bit":
+        return _chars(seed, int(given("size", 1)), "01")
+    if kind == "bytes":
+        return F.concat(F.lit("\\x"), _chars(seed, int(given("size", 20)), "0123456789abcdef"))
+    if kind in ("string", "json"):
+        lo, hi = given("min", 10), given("max", 50)
+        if kind == "json":
+            # nine characters are the object around the text
+            lo, hi = lo - 9 if lo > 10 else 1, hi - 9 if hi > 11 else 2
+        size = _int(u, lo, hi).cast("int")
+        text = F.when(size > 0, _chars(seed, F.greatest(size, F.lit(1)), LETTERS)).otherwise("")
+        return F.to_json(F.struct(text.alias("k"))) if kind == "json" else F.concat(F.lit(given("prefix", "")), text)
+    if kind == "uuid":
         h = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))).cast("binary"))
-        v = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(F.substring(F.lit("89ab"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(4)).cast("int") + 1, F.lit(1)), F.substring(h, 18, 3)), F.substring(h, 21, 12))
-    elif kind in ("timestamp", "date"):
-        a = F.unix_micros(F.lit(args.get("start", "2000-01-01")).cast("timestamp"))
-        b = F.unix_micros(F.lit(args.get("end", "2024-12-31")).cast("timestamp"))
+        return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(F.substring(F.lit("89ab"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(4)).cast("int") + 1, F.lit(1)), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    if kind in ("timestamp", "date"):
+        a, b = (F.unix_micros(F.lit(given(k, d)).cast("timestamp")) for k, d in (("start", "2000-01-01"), ("end", "2024-12-31")))
         t = F.timestamp_micros((a + F.floor(u * (b - a + 1))).cast("long"))
-        v = F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS" if kind == "timestamp" else "yyyy-MM-dd")
-    elif kind == "time":
-        a, b = (sum(int(x) * m for x, m in zip(args.get(k, d).split(":"), (3600, 60, 1), strict=True)) for k, d in (("start", "07:30:00"), ("end", "22:30:00")))
-        v = F.date_format(F.timestamp_seconds(_int(u, a, b)), "HH:mm:ss")
-    elif kind == "choice":
+        return strftime(t, given("format", "%Y-%m-%d %H:%M:%S.%f" if kind == "timestamp" else "%Y-%m-%d"))
+    if kind == "time":
+        a, b = (sum(int(x) * m for x, m in zip(given(k, d).split(":"), (3600, 60, 1), strict=True)) * 10**6 for k, d in (("start", "07:30:00"), ("end", "22:30:00")))
+        return strftime(F.timestamp_micros(_int(u, a, b)), "%H:%M:%S.%f" if args.get("micros") else "%H:%M:%S")
+    if kind == "choice":
         pop = [str(x) for x in args["population"]]
         cum = args.get("cum_weights") or [sum((args.get("weights") or [1] * len(pop))[: i + 1]) for i in range(len(pop))]
         v = F.lit(pop[-1])
         for x, c in reversed([*zip(pop, cum, strict=True)][:-1]):
             v = F.when(u < c / cum[-1], x).otherwise(v)
-    else:
-        raise ValueError(f"no fast form of {kind!r}")
-    if args.get("array"):
-        v = F.concat(F.lit("{"), F.array_join(F.array_repeat(v.cast("string"), int(args["array"])), ","), F.lit("}"))
+        return v
+    raise ValueError(f"no fast form of {kind!r}")
+
+
+def fast_column(kind: str, args: dict) -> Column:
+    """A column expression with the type's distribution, for tables of any size; an array's values are drawn each for itself."""
+    seed = int(args.get("seed") or 0)
+    if kind == "sequence":
+        return (F.col("id") + int(args.get("start", 0))).cast("long")
+    n = 0 if kind == "json" else int(args.get("array") or 0)
+    v = F.concat(F.lit("{"), F.concat_ws(",", *[_fast_value(kind, args, seed + (k << 32)).cast("string") for k in range(n)]), F.lit("}")) if n else _fast_value(kind, args, seed)
     p = args.get("null_pct") or 0.0
     return F.when(_u(seed, 1) >= p, v) if p else v
 
 
+def kv_payload(kind: str, size: int, seed: int = 0, value: str = "") -> Column:
+    """A key or value of a key-value load over rows with an id: bytes, uuid, int (0 to 2^63 - 1), string or fixed."""
+    if kind == "bytes":
+        return F.unhex(_chars(seed, 2 * size, "0123456789ABCDEF"))
+    if kind == "int":
+        return F.xxhash64("id", F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1))
+    if kind == "fixed":
+        return F.lit(value)
+    if kind in ("uuid", "string"):
+        return _fast_value(kind, {"min": size, "max": size}, seed)
+    raise ValueError(f"no payload of {kind!r}")
+
+
+def unit_vector(size: int, seed: int = 0) -> Column:
+    """A direction drawn evenly: normal components over their length."""
+    u = lambda i, k: (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed), i, F.lit(k)), 11) + 1).cast("double") / F.lit(float(1 << 53))
+    normal = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.sqrt(-2 * F.log(u(i, 0))) * F.cos(2 * F.pi() * u(i, 1)))
+    with_length = F.struct(normal.alias("v"), F.sqrt(F.aggregate(normal, F.lit(0.0), lambda s, x: s + x * x)).alias("n"))
+    return F.transform(with_length["v"], lambda x: x / with_length["n"])
+
+
+def amount(seed: int = 0) -> Column:
+    """An order's amount: 0 to a million, two digits."""
+    return F.round(_u(seed, 0) * 1e6, 2)
+
+
 def generate_fast(spark: SparkSession, item: dict, partitions: int | None = None) -> DataFrame:
     """One dataset of a blueprint by expressions over spark.range."""
     rows = spark.range(0, item["count"], 1, partitions) if partitions else spark.range(item["count"])

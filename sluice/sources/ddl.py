@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 #: Words that begin a constraint or option instead of a column.
 RESERVED = frozenset(
     "unique primary constraint foreign index key check family inverted partition partitioned by range list hash with "
-    "references create table if not exists like exclude enum interleave cluster".split()
+    "references create table if not exists like exclude enum interleave cluster null global local temporary temp unlogged visible using bucket_count".split()
 )
 COUNT, ARRAY = 100, 3
 NULL_LOW, NULL_HIGH = 0.2, 0.4

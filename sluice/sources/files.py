@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.scalars import DRIVERS, statements
+from sluice.operators.ordering import ranked
 from sluice.operators.stats import STATS_SCHEMA
 
 
@@ -55,9 +56,12 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, skip: int = 0) -> DataFrame:
     """JSON lines (also compressed) without blank lines and the first ones to skip."""
-    raw = spark.read.text(path).where(F.trim("value") != "")
+    raw = spark.read.text(path)
     if skip:
-        raw = raw.withColumn("_i", F.monotonically_increasing_id()).where(F.col("_i") >= skip)  # a compressed file is one partition
+        # the order is that of the files' names and of the lines in them
+        raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+        raw = ranked(raw, ["file", "line"]).where(F.col("rn") >= skip)
+    raw = raw.where(F.trim("value") != "")
     return raw.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 

@@ -90,6 +90,25 @@ def insert_batches(df: DataFrame, table: str, size: int = BATCH_INSERT) -> DataF
     return df.mapInPandas(run, "n_rows long, stmt string")
 
 
+def upsert_batches(df: DataFrame, put, size: int = BATCH_VECTORS) -> DataFrame:
+    """(n_rows) of each batch given to put, which runs where the rows are: size rows each, and the rest."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, done = [], []
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                held.append(row)
+                if len(held) == size:
+                    put(held)
+                    done.append(len(held))
+                    held = []
+        if held:
+            put(held)
+            done.append(len(held))
+        yield pd.DataFrame({"n_rows": done})
+
+    return df.mapInPandas(run, "n_rows long")
+
+
 def write_jdbc(df: DataFrame, uri: str, table: str, size: int = BATCH_INSERT) -> None:
     from sluice.sources.files import connection
 
@@ -125,8 +144,6 @@ def format_sql(stmt: str) -> str:
 def workload_stub(name: str, script: str) -> str:
     """A workload class with a function for each of a script's statements; queries get their rows as DataFrames."""
     camel = "".join(p.capitalize() for p in name.split("_"))
-    from sluice.sources.ddl import create_statements  # noqa: F401  a stub leaves definitions out
-
     import re
 
     text = re.sub(r"--[^\n]*", "", re.sub(r"/\*.*?\*/", "", script, flags=re.S))

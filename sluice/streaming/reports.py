@@ -27,6 +27,33 @@ def windowed(stream: DataFrame, seconds: int = WINDOW_SECONDS, offset: int = 0,
     return g.withColumn("window_start", F.col("w.start")).drop("w").withColumn("period_ops_s", F.expr(f"period_ops div {seconds}"))
 
 
+def late_to_arrival(stream: DataFrame, arrival: str, buffer: int = BUFFER_SECONDS) -> DataFrame:
+    """Rows that arrive later than the buffer take their arrival as ts, so that they count in the window then open instead of being dropped."""
+    late = F.unix_micros(F.col(arrival)) - F.unix_micros("ts") > buffer * 1_000_000
+    return stream.withColumn("ts", F.when(late, F.col(arrival)).otherwise(F.col("ts")))
+
+
+def run_updates(report: DataFrame, path: str, checkpoint: str):
+    """Every change of a window to path, once for each batch id; the last change of a window that is still open when the run ends is among them."""
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/part={batch_id}")
+
+    return report.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+
+
+def latest_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The windows of run_updates as they last were."""
+    rows = spark.read.parquet(path).drop("part")
+    rest = [c for c in rows.columns if c not in ("window_start", "id", "batch")]
+    last = rows.groupBy("window_start", "id").agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return last.select("window_start", "id", "r.*")
+
+
+def to_console(report: DataFrame, checkpoint: str, seconds: int = WINDOW_SECONDS):
+    """The report on the console, anew each period."""
+    return report.writeStream.outputMode("update").format("console").option("truncate", False).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def by_arrival(batch: DataFrame, arrival: str, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """The other policy for late rows: none is dropped, each counts in the window in which it arrived."""
     w = F.window(F.greatest(F.col("ts"), F.col(arrival)), f"{seconds} seconds").alias("w")

@@ -192,3 +192,47 @@ def test_cli_makes_blueprint_and_data(spark, tmp_path):
 def test_fixed_scalars(spark):
     r = spark.range(1).select(scalars.class_name(F.lit("a_bc")), scalars.driver_of(F.lit("postgresql+psycopg://x")), scalars.format_centroids(scalars.parse_centroids(F.lit("1.5 2.0;")))).first()
     assert tuple(r) == ("ABc", "postgres", "1.5 2.0;")
+
+
+def test_tables_of_all_kinds_are_named():
+    for kind in ("temporary", "temp", "unlogged", "global temporary", "local temp"):
+        assert ddl.parse_table(f"create {kind} table if not exists s.t (a int)")[0] == "s__t"
+
+
+def test_skipped_lines_of_several_files(spark, tmp_path):
+    import gzip
+
+    for name, n in (("a", 3), ("b", 5)):
+        with gzip.open(tmp_path / f"{name}.json.gz", "wt") as f:
+            f.writelines(f'{{"k": "{name}{i}"}}\n\n' if i == 1 else f'{{"k": "{name}{i}"}}\n' for i in range(n))
+    got = files.read_json_lines(spark, str(tmp_path), "k string", skip=5).collect()
+    # six lines in a with its blank one come first: four, and one of b
+    assert sorted(r["k"] for r in got) == ["b1", "b2", "b3", "b4"]
+
+
+def test_batches_of_upserts_have_a_rest(spark):
+    got = [r["n_rows"] for r in sinks.upsert_batches(spark.range(25).coalesce(1).withColumnRenamed("id", "k"), len, 10).collect()]
+    assert got == [10, 10, 5]
+
+
+def test_digests_of_a_hot_key(spark):
+    df = spark.range(50_000).select(F.lit("hot").alias("id"), (F.col("id") % 1000).cast("double").alias("latency"))
+    q = digest.digest_by(df, ["id"], "latency").select(digest.digest_quantiles("centroids").alias("q")).first()["q"]
+    assert q[0] == pytest.approx(499.5, abs=1e-6) and q[1] == pytest.approx(500, abs=10) and q[4] == pytest.approx(990, abs=3) and q[5] == 999
+
+
+def test_fast_dates_and_times_follow_their_arguments(spark):
+    cols = {"d": {"type": "date", "args": {"format": "%d/%m/%Y"}}, "t": {"type": "time", "args": {"micros": True}}, "j": {"type": "json", "args": {"array": 3}}}
+    for r in blueprint.generate_fast(spark, {"count": 50, "columns": cols}).collect():
+        assert r["d"][2] == r["d"][5] == "/" and len(r["t"]) == 15 and r["j"].startswith('{"k":"')
+
+
+def test_the_controller_is_the_same_as_a_table_and_step_by_step(spark):
+    rng = random.Random(3)
+    rates = [(g, k, rng.choice([0.0, 5.0, 90.0, 110.0, 250.0]) + rng.random()) for g in "ab" for k in range(60)]
+    got = control.controller_run(spark.createDataFrame(rates, "grp string, seq long, rate double"), 100.0, workers=3, ramp_s=5.0).collect()
+    for g in "ab":
+        s = control.RateState(workers=3)
+        for r, (_, k, rate) in zip(sorted((r for r in got if r["grp"] == g), key=lambda r: r["seq"]), (x for x in rates if x[0] == g), strict=True):
+            s, what = control.rate_step(s, k * 10.0, rate, 100.0, 5.0)
+            assert (r["workers"], r["decision"]) == (s.workers, what) and r["pause"] == pytest.approx(s.pause)
