@@ -1,11 +1,12 @@
 """Toxic passages by maximum-scoring segment search.
 
 Words, and prefixes of four to six letters of words, get log-odds of toxic against clean labelled documents with an
-informative Dirichlet prior (the pooled rate, weighing 5 % of the documents). A feature counts only if its excess
-in toxic documents would be expected to arise by chance at most once among all features. Every other word costs a
-constant, as in a passage with one toxic word in ten. One scan over a text then finds all maximal scoring segments
-in linear time. A segment's significance is that of the extreme-value law of local maxima: E = K n exp(-lambda S), where
-lambda solves sum p exp(lambda s) = 1 over clean words. A logistic curve over the best normalised segment, the number of
+informative Dirichlet prior (the pooled rate, weighing 5 % of the documents). Positive log-odds count only if the excess
+in toxic documents would be expected to arise by chance at most once among all features; negative ones count as they are. Every word
+without positive log-odds costs a constant besides, as in a passage with one toxic word in ten. One scan over a text's scores then finds all maximal scoring segments
+in linear time. A segment's significance is that of the extreme-value law of local maxima: E = K n exp(-lambda S). K and lambda are fitted by maximum likelihood to
+the best segments of the clean labelled documents (those without a segment count as below any score), with the lambda that solves sum p exp(lambda s) = 1 over clean words
+as a prior that weighs PRIOR_FITS documents. A logistic curve over the best normalised segment, the number of
 significant ones and of all turns this into a score from 0 to 1.
 
 Labels are learnt from a bounded sample: of each label at most SAMPLE rows, those whose id hashes lowest, near copies
@@ -13,7 +14,7 @@ among them once. A row with a null label or null id is not learnt from; of sever
 id the highest counts.
 
 Input cases: null and empty texts have no segment and get the lowest score; equal rows get equal scores; where nothing can be learnt
-(no labels, one label only) every score is the prior rate, 0.5 without labels; an empty table gives no rows.
+(no labels, one label only) every score is the prior rate, 0.5 without labels; null ids are scored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,10 +32,9 @@ from pyspark.sql import functions as F
 from sluice.llm.common import chunks, mix64, ship, texts_of, words
 
 SAMPLE = 10_000
-MAX_FEATURES = 50_000
 PRIOR = 0.05
 NEUTRAL = math.log(0.9)
-K = 0.1
+PRIOR_FITS = 20
 ALPHA = 0.05
 PREDICT = 0.7
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -55,18 +55,18 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in PREFIXES if len(word) > n)]
 
 
-def segments(score: list[float], place: list[int], cost: float) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, first, last) of a text whose words at place have these positive scores and whose others have cost < 0.
+def segments(scores: list[float]) -> list[tuple[float, int, int]]:
+    """All maximal scoring segments (score, first, last) of a text's scores.
 
     Linear: a segment on the stack is merged or passed over once; links skip what can't be merged.
     """
     left, right, first, last, link = [], [], [], [], []
-    total, at = 0.0, 0
-    for s, i in zip(score, place, strict=True):
-        total += cost * (i - at)
-        at = i + 1
-        lo, hi, begin = total, total + s, i
-        total = hi
+    total = 0.0
+    for i, s in enumerate(scores):
+        lo, total = total, total + s
+        if s <= 0:
+            continue
+        hi, begin = total, i
         while True:
             j = len(left) - 1
             while j >= 0 and left[j] >= lo:
@@ -100,44 +100,82 @@ def all_segments_plain(scores: list[float]) -> list[tuple[float, int, int]]:
     return cut(0, len(scores))
 
 
+class Known(dict):
+    """Scores of the words that a worker has seen."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        got = 0.0
+        if b := bare(word):
+            got = next((self.weights[f] for f in features(b) if f in self.weights), 0.0)
+        self[word] = got = got if got > 0 else got + NEUTRAL
+        return got
+
+
 class ToxicModel:
-    """weights: log-odds by feature; lam: scale of scores; coef: logistic weights, None if nothing could be learnt."""
-
-    def __init__(self, weights: dict[str, float], lam: float, coef: list[float] | None, rate: float):
-        self.weights, self.lam, self.coef, self.rate = weights, lam, coef, rate
-        self.known: dict[str, float] = {}
-
-    def weight(self, word: str) -> float:
-        w = self.known.get(word)
-        if w is None:
-            w = 0.0
-            if b := bare(word):
-                w = next((self.weights[f] for f in features(b) if f in self.weights), 0.0)
-            if len(self.known) > 400_000:
-                self.known.clear()
-            self.known[word] = w
-        return w
-
-    def passages(self, text: str) -> tuple[list[tuple[float, float, int, int]], int]:
-        """(normalised score, E, first word, last word) of every segment, and the number of words."""
+    """weights: log-odds by feature; lam, k: of the extreme-value law; coef: logistic weights, None if nothing could be learnt."""
+
+    def __init__(self, weights: dict[str, float], lam: float, k: float, coef: list[float] | None, rate: float):
+        self.weights, self.lam, self.k, self.coef, self.rate = weights, lam, k, coef, rate
+        self.known = Known(weights)
+
+    def parts(self) -> tuple:
+        return self.weights, self.lam, self.k, self.coef, self.rate
+
+    def scan(self, text: str) -> tuple[list[tuple[float, int, int]], int]:
+        """The segments of a text, and the number of words."""
         found = tokens(text)
-        w = list(map(self.weight, found))
-        place = [i for i, x in enumerate(w) if x > 0]
-        norm = math.log(K * max(len(found), 10))
-        got = segments([w[i] for i in place], place, NEUTRAL)
-        return [(self.lam * s - norm, math.exp(min(50.0, norm - self.lam * s)), i, j) for s, i, j in got], len(found)
-
-    def measures(self, text: str) -> list[float]:
-        got, _ = self.passages(text)
+        if len(self.known) > 400_000:
+            self.known.clear()
+        scores = list(map(self.known.__getitem__, found))
+        return (segments(scores) if scores and max(scores) > 0 else []), len(found)
+
+    def passages(self, got: list[tuple[float, int, int]], n: int) -> list[tuple[float, float, int, int]]:
+        """(normalised score, E, first word, last word) of segments of a text of n words."""
+        norm = math.log(self.k * max(n, 10))
+        return [(self.lam * s - norm, math.exp(min(50.0, norm - self.lam * s)), i, j) for s, i, j in got]
+
+    def measures(self, got: list[tuple[float, float, int, int]]) -> list[float]:
         best = max((x[0] for x in got), default=-6.0)
-        return [1.0, min(max(best, -6.0), 12.0), math.log1p(sum(-math.expm1(-x[1]) <= ALPHA for x in got)), math.log1p(len(got))]
+        return [1.0, min(max(best, -6.0), 12.0), math.log1p(sum(significant(e) for _, e, _, _ in got)), math.log1p(len(got))]
 
-    def score(self, text: str) -> float:
+    def score(self, got: list[tuple[float, float, int, int]]) -> float:
+        """Of a text's passages."""
         if self.coef is None:
             return self.rate
-        z = float(np.dot(self.coef, self.measures(text)))
+        z = float(np.dot(self.coef, self.measures(got)))
         return 1 / (1 + math.exp(-min(max(z, -30), 30)))
 
+    def score_text(self, text: str) -> float:
+        return self.score(self.passages(*self.scan(text)))
+
+
+def significant(e: float) -> bool:
+    return -math.expm1(-e) <= ALPHA
+
+
+def fit_extremes(best: np.ndarray, n: np.ndarray, lam0: float) -> tuple[float, float]:
+    """(lambda, K) of maximum likelihood for the best scores of clean texts of n words, 0 for texts without a segment."""
+    some = best > 0
+    m = int(some.sum())
+    n = np.maximum(n, 10).astype(float)
+
+    def k_of(lam: float) -> float:
+        return (m + 1) / ((n * np.exp(-lam * best)).sum() + n.mean())
+
+    def value(lam: float) -> float:
+        return m * math.log(k_of(lam)) + m * math.log(lam) - lam * best[some].sum() + PRIOR_FITS * (math.log(lam) - lam / lam0)
+
+    lo, hi = math.log(0.02), math.log(20.0)
+    for _ in range(80):
+        a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
+        lo, hi = (a, hi) if value(math.exp(a)) < value(math.exp(b)) else (lo, b)
+    lam = math.exp((lo + hi) / 2)
+    return lam, k_of(lam)
+
 
 def binomial_tail(k: int, n: int, p: float) -> float:
     """P(X >= k) of n draws."""
@@ -212,38 +250,42 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> ToxicModel:
     n_t, n_c = seen.get(1, 0), seen.get(0, 0)
     rate = n_t / (n_t + n_c) if n_t + n_c else 0.5
     if not n_t or not n_c:
-        return ToxicModel({}, 1.0, None, rate)
+        return ToxicModel({}, 1.0, 0.1, None, rate)
     counts = sample.repartition(24, "doc_id").mapInPandas(_doc_counts, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    excess = counts.where((F.col("t") >= 3) & (F.col("t") * n_c > 3 * F.col("c") * n_t))
-    got = excess.orderBy(F.desc(F.col("t") * n_c / (F.col("c") * n_t + n_t)), "f").limit(MAX_FEATURES).toPandas()
-    n_features = max(1, counts.where("t + c >= 3").count())
-    weights, rates = {}, []
+    # bounded by the sample's words
+    got = counts.where((F.col("t") + F.col("c") >= 3) & (~F.col("f").endswith("-") | (F.col("t") * n_c > 3 * F.col("c") * n_t))).toPandas()
+    n_features = max(1, len(got))
+    a0 = PRIOR * (n_t + n_c)
+    weights, occurs = {}, []
     for f, t, c in got.itertuples(index=False):
-        if binomial_tail(int(t), int(t + c), rate) * n_features > 1:
-            continue
-        a0 = PRIOR * (n_t + n_c)
         a = a0 * (t + c) / (n_t + n_c)
-        odds = math.log((t + a) / (n_t + a0 - t - a)) - math.log((c + a) / (n_c + a0 - c - a)) if t + a < n_t + a0 else 8.0
-        weights[f] = odds
+        odds = math.log((t + a) / max(n_t + a0 - t - a, 1e-9)) - math.log((c + a) / max(n_c + a0 - c - a, 1e-9))
+        chance = t < 3 or t * n_c <= 3 * c * n_t or binomial_tail(int(t), int(t + c), rate) * n_features > 1
+        if odds <= 0 and not f.endswith("-") or odds > 0 and not chance:
+            weights[f] = odds
         if not f.endswith("-"):
-            rates.append((odds, (c + a) / (n_c + a0)))
-    # clean words' scores: a feature's rate by document, spread over the words of a document (500, as order of size)
-    probs = [(s, p / 500) for s, p in rates if s > 0]
-    rest = 1 - sum(p for _, p in probs)
+            w = weights.get(f, 0.0)
+            occurs.append((w if w > 0 else w + NEUTRAL, c + a * n_c / (n_t + n_c)))
+    # lambda of the theory: clean words' scores by how many clean documents have them
+    s, p = np.array(occurs).T if occurs else (np.array([NEUTRAL]), np.array([1.0]))
+    p = p / p.sum()
     lo, hi = 1e-3, 20.0
     for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if rest * math.exp(mid * NEUTRAL) + sum(p * math.exp(min(600.0, mid * s)) for s, p in probs) > 1 else (mid, hi)
-    model = ToxicModel({f: w for f, w in weights.items() if w > 0}, min(lo, 3.0), None, rate)
+        lo, hi = (lo, mid) if (p * np.exp(np.minimum(mid * s, 600.0))).sum() > 1 else (mid, hi)
+    model = ToxicModel(weights, min(lo, 3.0), 0.1, None, rate)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "m": [model.measures(t) for t in texts_of(pdf)]})
-
-    fit = sample.mapInPandas(run, "toxic int, m array<double>").toPandas()  # at most 2 * size rows
-    x, y = np.array(fit["m"].tolist()), fit["toxic"].to_numpy(float)
+            found = [model.scan(t) for t in texts_of(pdf)]
+            yield pd.DataFrame({"toxic": pdf["toxic"], "n": [n for _, n in found], "s": [[float(x[0]) for x in got] for got, _ in found]})
+
+    fit = sample.mapInPandas(run, "toxic int, n long, s array<double>").toPandas()  # at most 2 * size rows
+    y = fit["toxic"].to_numpy(float)
+    best = np.array([max(x, default=0.0) for x in fit["s"]])
+    model.lam, model.k = fit_extremes(best[y == 0], fit["n"].to_numpy()[y == 0], model.lam)
+    x = np.array([model.measures(model.passages([(v, 0, 0) for v in own], n)) for own, n in zip(fit["s"], fit["n"], strict=True)])
     model.coef = fit_logistic(x, y)
-    model.known = {}
     return model
 
 
@@ -251,7 +293,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """docs (doc_id, text) with score, predicted, n_passages (significant) and passages (first and last word, normalised score)."""
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast((model.weights, model.lam, model.coef, model.rate))
+    held = spark.sparkContext.broadcast(model.parts())
     token = held._jbroadcast.id()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,9 +303,9 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
             for at in chunks(texts):
                 scores, spans = [], []
                 for t in texts[at]:
-                    found, _ = own.passages(t)
-                    scores.append(own.score(t) if found or own.coef is None else own.score(""))
-                    spans.append([{"first_word": i, "last_word": j, "bits": s / math.log(2)} for s, e, i, j in found if -math.expm1(-e) <= ALPHA])
+                    found = own.passages(*own.scan(t))
+                    scores.append(own.score(found))
+                    spans.append([{"first_word": i, "last_word": j, "bits": s / math.log(2)} for s, e, i, j in found if significant(e)])
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[at], "score": scores, "passages": spans})
 
     schema = "doc_id long, score double, passages array<struct<first_word:int,last_word:int,bits:double>>"
@@ -274,12 +316,12 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 def score_column(spark, model: ToxicModel, text: str = "text"):
     """The score as a column of the text, for filters that need no join."""
     ship(spark)
-    held = spark.sparkContext.broadcast((model.weights, model.lam, model.coef, model.rate))
+    held = spark.sparkContext.broadcast(model.parts())
     token = held._jbroadcast.id()
 
     def run(col: pd.Series) -> pd.Series:
         own = _model(token, held.value)
-        return pd.Series([own.score(t if isinstance(t, str) else "") for t in col], dtype=float)
+        return pd.Series([own.score_text(t if isinstance(t, str) else "") for t in col], dtype=float)
 
     return F.pandas_udf(run, "double")(text)
 

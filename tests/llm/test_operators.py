@@ -191,15 +191,21 @@ def test_quality_separates_junk(spark, documents, sf):
 
 # 2 toxicity
 
-@given(st.lists(st.sampled_from([-0.5, 1.0, 2.0]), max_size=24))
+@given(st.lists(st.sampled_from([-0.53, -0.11, 0.97, 2.03]), max_size=24))
 @settings(max_examples=200, deadline=None)
 def test_segments_equal_the_plain_method(scores):
-    place = [i for i, s in enumerate(scores) if s > 0]
-    got = toxicity.segments([scores[i] for i in place], place, -0.5)
-    want = toxicity.all_segments_plain(scores)
-    assert sum(s for s, _, _ in got) == pytest.approx(sum(s for s, _, _ in want))
-    assert max([s for s, _, _ in got], default=0) == pytest.approx(max([s for s, _, _ in want], default=0))
-    assert len(got) == len(want)
+    got, want = toxicity.segments(scores), toxicity.all_segments_plain(scores)
+    assert [s for s, _, _ in got] == pytest.approx([s for s, _, _ in want])
+    assert [sum(scores[i : j + 1]) for _, i, j in got] == pytest.approx([s for s, _, _ in got])
+    assert all(a < b for (_, _, a), (_, b, _) in zip(got, got[1:], strict=False))
+
+
+def test_extremes_are_fitted():
+    rng = np.random.default_rng(2)
+    n = rng.integers(50, 2000, 4000)
+    best = np.maximum(0, (np.log(0.02 * n) - np.log(-np.log(rng.random(4000)))) / 0.7)
+    lam, k = toxicity.fit_extremes(best, n, 0.5)
+    assert lam == pytest.approx(0.7, rel=0.05) and k == pytest.approx(0.02, rel=0.15)
 
 
 def test_toxic_held_out(spark, sf):
@@ -651,9 +657,11 @@ def test_equal_rows_have_equal_results(awkward):
 
 
 def test_passages_are_found_in_long_texts():
-    m = toxicity.ToxicModel({"idiot": 6.0, "scum": 6.0}, 1.0, [-3.0, 0.5, 1.0, 1.0], 0.1)
+    m = toxicity.ToxicModel({"idiot": 6.0, "scum": 6.0, "kind": -1.0}, 1.0, 0.1, [-3.0, 0.5, 1.0, 1.0], 0.1)
     text = "word " * 20_000 + "idiot scum idiot " + "word " * 20_000
-    got, n = m.passages(text)
-    assert n == 40_003 and [(i, j) for _, _, i, j in got] == [(20_000, 20_002)]
-    assert m.score(text) > m.score("word " * 10)
-    assert isinstance(pd.Series([m.score("")])[0], float)
+    got, n = m.scan(text)
+    assert n == 40_003 and [(i, j) for _, i, j in got] == [(20_000, 20_002)]
+    assert m.score_text(text) > m.score_text("word " * 10)
+    # words of clean documents cost more than unknown ones
+    assert len(m.scan("idiot " + "word " * 40 + "idiot")[0]) == 1 and len(m.scan("idiot " + "kind " * 40 + "idiot")[0]) == 2
+    assert isinstance(pd.Series([m.score_text("")])[0], float)
