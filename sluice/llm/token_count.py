@@ -4,6 +4,9 @@ The vocabulary is a trie. A node that cannot take the next symbol follows its fa
 longest pieces that its string begins with; how many it pops is computed with the automaton. So one pass over
 a word adds up the number of pieces and never builds one.
 
+The words are those of the vocabulary's own description: NFC, lower case, runs of letters, single numbers, runs of other marks. A piece that ends a word is
+another than the same letters inside of one, so a word's last symbol carries the end mark.
+
 Input cases: a null or empty text has no word and no token; a word with a symbol that is no piece counts as one
 unknown token; rows are independent, so repeats and ties need no rule; columns of the input that the
 result names are replaced by it, all others stay out.
@@ -12,7 +15,7 @@ result names are replaced by it, all others stay out.
 from __future__ import annotations
 
 import json
-import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import ship, texts_of
 
-#: The word pattern that the word_bpe_49k vocabulary is described with (contractions, letters, one digit, other marks).
-PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: The word pattern that the word_bpe_49k vocabulary is described with (contractions, letters, one number, other marks), and the mark of a word's end.
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 END = "</w>"
 #: Distinct words whose counts a worker keeps; beyond that it starts anew.
 CACHE = 500_000
@@ -101,37 +104,46 @@ def greedy_count(word: tuple, pieces: set[tuple], longest: int) -> int:
     return n
 
 
-def load_pieces(path: str) -> list[tuple]:
-    """The distinct pieces of a vocabulary as tuples of symbols; a piece counts alike inside a word and at its end.
+def symbols_of(word: str) -> list[str]:
+    """The word's symbols: its bytes' characters, the last one with the end mark."""
+    out = [_SYMBOLS[b] for b in word.encode("utf-8", "replace")]
+    out[-1] += END
+    return out
 
-    With the end as a symbol of its own, greedy cutting could be left with a bare end that is no piece.
-    """
+
+def load_pieces(path: str) -> list[tuple]:
+    """The pieces of a vocabulary as tuples of symbols; those with the end mark have it in their last symbol."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    return sorted({tuple(p.removesuffix(END)) for p in vocab})
+    return [(*p[: -len(END) - 1], p[-len(END) - 1 :]) if p.endswith(END) and len(p) > len(END) else tuple(p) for p in vocab]
 
 
-_AUTOMATA: dict[str, tuple[PieceCounter, dict[str, int]]] = {}
+_AUTOMATA: dict[str, tuple] = {}
 
 
-def _automaton(path: str) -> tuple[PieceCounter, dict[str, int]]:
+def _automaton(path: str) -> tuple:
     if path not in _AUTOMATA:
-        _AUTOMATA[path] = PieceCounter(load_pieces(path)), {}
+        import regex
+
+        _AUTOMATA[path] = PieceCounter(load_pieces(path)), {}, regex.compile(PRETOKEN)
     return _AUTOMATA[path]
 
 
+def words_of(text: str, path: str) -> list[str]:
+    return _automaton(path)[2].findall(unicodedata.normalize("NFC", text).lower())
+
+
 def count_text(text: str, path: str) -> tuple[int, int, int]:
     """(words, tokens, words that can't be cut) of one text."""
-    auto, known = _automaton(path)
-    symbols = _SYMBOLS
+    auto, known, _ = _automaton(path)
     if len(known) > CACHE:
         known.clear()
-    found = PRETOKEN.findall(text.lower())
+    found = words_of(text, path)
     tokens = lost = 0
     for w in found:
         n = known.get(w)
         if n is None:
-            n = known[w] = auto.count([symbols[b] for b in w.encode("utf-8", "replace")])
+            n = known[w] = auto.count(symbols_of(w))
         if n < 0:
             lost += 1
             n = 1

@@ -224,6 +224,22 @@ def test_automaton_equals_greedy(pieces, word):
     assert token_count.PieceCounter(p).count(tuple(word)) == token_count.greedy_count(tuple(word), p, 4)
 
 
+def test_token_counts_of_texts_equal_greedy_cutting_of_the_librarys_words(spark, documents):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    tk = Tokenizer.from_file(path)
+    inside, longest = set(load := token_count.load_pieces(path)), max(map(len, load))
+    rows = [(r["doc_id"], r["text"]) for r in documents.limit(40).collect()] + [(9001, "Ünïcode e\u0301 ½ x² 日本語 don't we'll -- ... \x1c a_b 12"), (9002, ""), (9003, None)]
+    got = {r["doc_id"]: r for r in token_count.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    back = {c: bytes([b]) for b, c in enumerate(token_count.byte_symbols())}
+    for i, t in rows:
+        cut = [w for w, _ in tk.pre_tokenizer.pre_tokenize_str(tk.normalizer.normalize_str(t or ""))]
+        words = [b"".join(back[c] for c in w).decode() for w in cut]
+        want = sum(token_count.greedy_count(tuple(token_count.symbols_of(w)), inside, longest) for w in words)
+        assert (got[i]["n_words"], got[i]["n_tokens"], got[i]["n_unknown"]) == (len(words), want, 0), i
+
+
 # 4 packing
 
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=120))
