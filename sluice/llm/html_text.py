@@ -152,11 +152,15 @@ def bucket(x: float, edges: tuple) -> int:
 def features(blocks: list[Block]) -> list[list[str]]:
     out = []
     n = len(blocks)
+    # whether the page marks its article, and where a block stands to it
+    inside = [any(tag in ("article", "main") for tag, _ in b.path) for b in blocks]
+    first, last = (inside.index(True), n - 1 - inside[::-1].index(True)) if any(inside) else (n, -1)
     for k, b in enumerate(blocks):
         t = b.text
+        where = "unmarked" if last < 0 else "inside" if inside[k] else "before" if k < first else "after" if k > last else "between"
         words = t.count(" ") + 1
         low = t.lower()
-        f = [*path_features(b.path), "bias", f"words {bucket(words, (2, 5, 10, 20, 40, 80))}", f"link {bucket(b.link / len(t), (0.01, 0.3, 0.6, 0.9))}", f"end {t[-1] if t[-1] in '.!?:,' else 'x'}", f"commas {bucket(t.count(','), (1, 3, 8))}", f"place {bucket(k / n, (0.1, 0.5, 0.9))}"]
+        f = [*path_features(b.path), "bias", f"words {bucket(words, (2, 5, 10, 20, 40, 80))}", f"link {bucket(b.link / len(t), (0.01, 0.3, 0.6, 0.9))}", f"end {t[-1] if t[-1] in '.!?:,' else 'x'}", f"commas {bucket(t.count(','), (1, 3, 8))}", f"place {bucket(k / n, (0.1, 0.5, 0.9))}", "article " + where]
         f += ["hint " + h for h in HINTS if h in low]
         out.append(f)
     return out
@@ -349,6 +353,9 @@ def labelled_pages(n: int = 360, seed: int = 11) -> list[tuple[str, list[tuple[s
             body += open_close(rng.choice(["div", "section"]), rng.choice(MAIN_NAMES), inner)
         for k in rng.sample(["aside", "comment", "footer", "ad", "form", "notice", "nav"], rng.randint(0, 5)):
             body += other(k)
+        if r < 0.75 and rng.random() < 0.3:
+            # readers' remarks without any name
+            body += open_close(rng.choice(["div", "section", "ol"]), None, "".join(open_close("li" if rng.random() < 0.4 else "div", None, f"<p>{say(prose(), 0)}</p>") for _ in range(rng.randint(1, 4))))
         out.append((f"<!DOCTYPE html><html><head><title>{words(4)}</title><script>var a='<p>';</script></head><body>{body}</body></html>", gold))
     return out
 

@@ -548,6 +548,31 @@ def test_pages(page, text):
     assert html_text.main_text(page, html_text.default_field()) == text
 
 
+def test_unnamed_remarks_after_the_article_go():
+    page = "<body><article><h1>T of it</h1><p>One long paragraph of the article, with words and more words in it.</p></article><div><p>I liked this, it is a nice text and I have many words to say.</p></div></body>"
+    assert html_text.main_text(page, html_text.default_field()) == "T of it\n\nOne long paragraph of the article, with words and more words in it."
+
+
+def test_extract_in_spark(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r["page_id"]: r for r in html_text.extract(pages).collect()}
+    want = {r["page_id"]: r for r in pages.collect()}
+    assert got.keys() == want.keys() and sum(len(r["text"]) > 100 for r in got.values()) > 0.9 * len(got)
+    for i, r in got.items():
+        assert r["text"] == html_text.main_text(want[i]["html"], html_text.default_field()) and r["n_chars"] == len(r["text"]) and r["url"] == want[i]["url"]
+        assert not any(x != " ".join(x.split()) or not x for x in r["text"].split("\n\n") if r["text"])
+
+
+def test_extract_of_awkward_pages(spark):
+    long = "<article>" + "<p>Some words of a long page, again and again.</p>" * 20_000 + "</article>"
+    rows = [(1, None, None, "x"), (1, "u", "", "x"), (None, "u", "<p>", "x"), (4, "u", long, "x"), (4, "u", long, "x"), (5, "u", "\x00<article><p>Words, and more words here.\u2003 Then an end.</p>", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_text.extract(df).collect()
+    assert len(got) == 6 and html_text.extract(df.where("page_id < 0")).count() == 0
+    assert [r["n_chars"] for r in got if r["page_id"] == 4] == [46 * 20_000 - 2] * 2 or len({r["n_chars"] for r in got if r["page_id"] == 4}) == 1
+    assert all(r["text"] == "" and r["n_chars"] == 0 for r in got if r["page_id"] in (1, None))
+
+
 # 9 lines
 
 def test_word_distance():
