@@ -58,7 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors.
 
-    Hadoop removes the files when the driver's JVM ends.
+    Hadoop removes the files when the driver's JVM ends, if forget() hasn't before.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/sluice-{tag}-{uuid.uuid4().hex}"
@@ -66,7 +66,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._sluice_path = at
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables from stored() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._sluice_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(col: Column, m: int) -> Column:
@@ -218,7 +228,8 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         low = both.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
         near = label.join(low, "a").select("a", F.least("c", "m").alias("c"))
         far = label.select(F.col("a").alias("c"), F.col("c").alias("cc"))
-        label = stored(near.join(far, "c", "left").select("a", F.least("c", F.coalesce("cc", "c")).alias("c")), f"{tag}-{k}")
+        old, label = label, stored(near.join(far, "c", "left").select("a", F.least("c", F.coalesce("cc", "c")).alias("c")), f"{tag}-{k}")
+        forget(old)
         now = label.agg(total).first()[0]
         if now == before:
             break

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sluice.llm.common import WORD_SQL, stored
+from sluice.llm.common import WORD_SQL, forget, stored
 
 DIMS = ("source", "lang", "topic")
 TOPICS, LONG = 8, 5
@@ -95,7 +95,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float = SHARE,
             seen = Observation()
             new = rows.join(step, dim, "left").observe(seen, F.max(F.abs(F.col("m") - F.col("target"))).alias("off"))
             # a step reads the cells twice, so unwritten steps would double the plan each time
-            rows = stored(new.select(*dims, "tokens", (F.col("raw") * F.coalesce(F.col("target") / F.col("m"), F.lit(0.0))).alias("raw")), f"mix-{k}-{dim}")
+            old, rows = rows, stored(new.select(*dims, "tokens", (F.col("raw") * F.coalesce(F.col("target") / F.col("m"), F.lit(0.0))).alias("raw")), f"mix-{k}-{dim}")
+            forget(old)
             off = max(off, seen.get["off"] or 0.0)
         if off <= TOLERANCE:
             break
@@ -128,11 +129,9 @@ def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sha
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, topic: Column | None = None) -> DataFrame:
     """The documents that are drawn, with their columns. Texts move only if the table of cells is too large for the optimizer to broadcast."""
     table = cell_probabilities(features(docs, topic), targets, share)
-    table = table.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMS], F.col("probability").alias("_mix_p"))
-    keys = {f"_k_{d}": c for d, c in keys_of(topic).items()}
-    same = [F.col(f"_k_{d}") == F.col(f"_mix_{d}") for d in DIMS]
-    rows = docs.withColumns(keys).join(table, same, "left")
-    return rows.where(drawn(F.col("doc_id"), F.coalesce("_mix_p", F.lit(1.0)))).select(docs.columns)
+    # the documents are one column, so that none of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), *[c.alias(d) for d, c in keys_of(topic).items()])
+    return rows.join(table.drop("weight"), list(DIMS), "left").where(drawn(F.col("doc.doc_id"), F.coalesce("probability", F.lit(1.0)))).select("doc.*")
 
 
 def _oracle() -> str:

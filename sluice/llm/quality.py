@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import mix64, ship, slabs, stored
+from sluice.llm.common import forget, mix64, ship, slabs, stored
 
 ORDER = 5
 BITS = 12
@@ -284,7 +284,7 @@ def train(first: DataFrame) -> Model:
     own = stored(five, "kn-5")
     level = own.unionByName(own.groupBy("g").agg(F.sum("c").alias("c")).withColumn("lang", F.lit(ALL)))
     rules = F.udf(lambda *n: list(discounts(*n)), "array<double>")
-    parts = []
+    parts, used = [], [own]
     for n in range(ORDER, 0, -1):
         if n < ORDER:
             # the first symbol of the shorter n-gram tells whether it is at a word's start
@@ -292,8 +292,10 @@ def train(first: DataFrame) -> Model:
             starts = F.shiftright("g", BITS * (n - 1)).bitwiseAND(F.lit(MASK)) == START
             level = level.select("lang", short.alias("g"), F.when(starts, F.col("c")).otherwise(F.lit(1)).alias("c")).groupBy("lang", "g").agg(F.sum("c").alias("c"))
             level = stored(level, f"kn-{n}")
+            used.append(level)
         stat = level.groupBy("lang").agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
         stat = stored(stat.select("lang", rules("n1", "n2", "n3", "n4").alias("d")), f"kn-rules-{n}")
+        used.append(stat)
         rows = level.join(_few(stat), "lang").select("lang", "g", "c", F.element_at("d", F.least("c", F.lit(3)).cast("int")).alias("cut"), F.shiftright("g", BITS).alias("h"))
         # at most 4096 symbols follow a context
         after = Window.partitionBy("lang", "h")
@@ -304,6 +306,7 @@ def train(first: DataFrame) -> Model:
     for p in parts[1:]:
         rows = rows.unionByName(p)
     rows = stored(rows.mapInPandas(_keys, "n int, context boolean, key long, pair long, v float"), "kn-model")
+    forget(*used)
     slices = max(1, -(-rows.where("pair >= 0").count() // SLICE_ROWS))
     number = F.pandas_udf(lambda pair: pd.Series(slice_of(pair.to_numpy(), slices)), "long")
     return Model(rows.withColumn("slice", number("pair") if slices > 1 else F.lit(0)), slices)
@@ -386,6 +389,7 @@ def quality(docs: DataFrame, width: float = BAND) -> DataFrame:
     first = stored(docs.mapInPandas(_first, FIRST), "kn-first")
     base = first.where("g is null").drop("g", "c")
     scored = stored(base.join(score(docs, train(first)), ["k1", "k2"], "left"), "kn-scored")
+    forget(first)
     band = F.sqrt(F.pow("between", F.lit(2)) + F.pow("within", F.lit(2)) / F.greatest("symbols", F.lit(1)))
     out = scored.join(_few(stored(bands(scored, width), "kn-bands")), "lang", "left").withColumns({"lower": F.col("centre") - band, "upper": F.col("centre") + band})
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
