@@ -1,4 +1,4 @@
-"""python -m sluice.cli: csv, yaml, merge-sort, merge-csvs, html, gen-stub, run."""
+"""python -m sluice.cli: csv, yaml, merge-sort, merge-csvs, html, plot, gen-stub, run."""
 
 from __future__ import annotations
 
@@ -33,6 +33,9 @@ def main(argv: list[str] | None = None) -> int:
     a = sub.add_parser("html", help="a chart of statistics")
     a.add_argument("-i", "--input", required=True)
     a.add_argument("-o", "--output", required=True)
+    a = sub.add_parser("plot", help="a figure of statistics as text")
+    a.add_argument("-i", "--input", required=True)
+    a.add_argument("-f", "--figure", default="p99_ms", choices=["p99_ms", "mean_ms", "period_ops_s", "threads"])
     a = sub.add_parser("gen-stub", help="a workload class from a script")
     a.add_argument("-i", "--input", required=True)
     a = sub.add_parser("run", help="cycles of a workload, and their report")
@@ -71,6 +74,11 @@ def main(argv: list[str] | None = None) -> int:
         from sluice.sources.files import read_stats
 
         sinks.write_stats(merge_stats(read_stats(spark, o.input), with_quantiles=True).orderBy("elapsed", "id"), o.output, mode="error")
+    elif o.cmd == "plot":
+        from sluice.operators.stats import terminal_chart
+        from sluice.sources.files import read_stats
+
+        print(terminal_chart(read_stats(spark, o.input), o.figure))
     elif o.cmd == "html":
         from sluice.operators.stats import html_chart
         from sluice.sources.files import read_stats

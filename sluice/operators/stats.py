@@ -96,7 +96,7 @@ def merge_stats(rows: DataFrame, with_quantiles: bool = False) -> DataFrame:
     merged = merge_by(b.select(F.col("bucket").alias("elapsed"), "id", parse_centroids(F.col("centroids")).alias("centroids")), ["elapsed", "id"])
     q = merged.select("elapsed", "id", digest_quantiles("centroids").alias("q"))
     names = ["mean_ms", "p50_ms", "p90_ms", "p95_ms", "p99_ms", "max_ms"]
-    return g.join(q, ["elapsed", "id"], "left").select(*cols, *[F.round(F.col("q")[i] * 1000, 2).alias(n) for i, n in enumerate(names)], F.lit(None).cast("string").alias("centroids"))
+    return g.join(q, ["elapsed", "id"], "left").select(*cols, *[F.bround(F.col("q")[i] * 1000, 2).alias(n) for i, n in enumerate(names)], F.lit(None).cast("string").alias("centroids"))
 
 
 def latency_histogram(m: DataFrame, bounds: list[int]) -> DataFrame:
@@ -125,14 +125,39 @@ def chart_series(stats: DataFrame) -> DataFrame:
     return stats.select("elapsed", "id", "p99_ms", "mean_ms", "period_ops_s", "threads")
 
 
-def html_chart(stats: DataFrame, points: int = 2000) -> str:
-    """A self-contained page with a line for each id's p99; a run's points are thinned to so many by elapsed buckets."""
+#: What a run's page draws.
+FIGURES = ("p99_ms", "mean_ms", "period_ops_s", "threads")
+
+
+def thinned(stats: DataFrame, points: int) -> list:
+    """(id, x, figures) of each id, the largest of each of at most so many stretches of time: points rows an id come to the driver."""
     span = stats.agg(F.max("elapsed")).first()[0] or 1
     step = max(1, span // points)
-    rows = stats.groupBy("id", F.expr(f"elapsed div {step}").alias("x")).agg(F.max("p99_ms").alias("y")).orderBy("id", "x").collect()  # points * ids
-    top = max((r["y"] or 0 for r in rows), default=1) or 1
-    lines = {}
+    return stats.groupBy("id", F.expr(f"elapsed div {step} * {step}").alias("x")).agg(*[F.max(c).alias(c) for c in FIGURES]).orderBy("id", "x").collect()
+
+
+def html_chart(stats: DataFrame, points: int = 2000) -> str:
+    """A self-contained page with a chart for each figure and a line in it for each id."""
+    rows = thinned(stats, points)
+    span = max((r["x"] for r in rows), default=1) or 1
+    ids = sorted({r["id"] for r in rows})
+    body = ""
+    for c in FIGURES:
+        top = max((r[c] or 0 for r in rows), default=1) or 1
+        body += f'<h2>{c}</h2><svg viewBox="0 0 800 300">'
+        for i, k in enumerate(ids):
+            at = " ".join(f"{r['x'] / span * 800:.1f},{300 - (r[c] or 0) / top * 300:.1f}" for r in rows if r["id"] == k)
+            body += f'<g><title>{k}</title><polyline fill="none" stroke="hsl({i * 67 % 360},70%,40%)" points="{at}"/></g>'
+        body += "</svg>"
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>run</title></head><body>{body}</body></html>'
+
+
+def terminal_chart(stats: DataFrame, figure: str = "p99_ms", width: int = 80) -> str:
+    """A line of text for each id: its figure over time in eight heights."""
+    rows = thinned(stats, width)
+    top = max((r[figure] or 0 for r in rows), default=1) or 1
+    lines: dict[str, str] = {}
     for r in rows:
-        lines.setdefault(r["id"], []).append(f"{r['x'] * step / span * 800:.1f},{300 - (r['y'] or 0) / top * 300:.1f}")
-    body = "".join(f'<g><title>{k}</title><polyline fill="none" stroke="hsl({i * 67 % 360},70%,40%)" points="{" ".join(v)}"/></g>' for i, (k, v) in enumerate(lines.items()))
-    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>run</title></head><body><svg viewBox="0 0 800 300">{body}</svg></body></html>'
+        lines[r["id"]] = lines.get(r["id"], "") + "▁▂▃▄▅▆▇█"[min(7, int(8 * (r[figure] or 0) / top))]
+    pad = max(map(len, lines), default=0)
+    return "\n".join(f"{k:<{pad}} {v}" for k, v in lines.items())

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.plans import generated, latency, relational, scalar
+from sluice.plans import generated, latency, relational, scalar, tools
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL = latency.QUERIES | relational.QUERIES | scalar.QUERIES | generated.QUERIES
+ALL = latency.QUERIES | relational.QUERIES | scalar.QUERIES | generated.QUERIES | tools.QUERIES
 
 
 def queries() -> dict[str, Query]:
