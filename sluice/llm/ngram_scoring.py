@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import crc_mod, mix64, packed, ship, slabs, stored, unpacked, word_bytes
 
 ORDER = 3
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 12_000_000
 RANGE_KEYS = 3_000_000
 KEY_BITS = 48
 SHARE_OF_ONE = 0.95

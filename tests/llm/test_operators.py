@@ -451,7 +451,7 @@ def plain_model(train):
     return p, score, {w for (w,) in grams[0]}
 
 
-@pytest.mark.parametrize("batch", [40, 16_000_000])
+@pytest.mark.parametrize("batch", [40, 12_000_000])
 def test_automaton_equals_the_formula_and_sums_to_one(spark, monkeypatch, batch):
     rng = random.Random(1)
     texts = [" ".join(rng.choices("abcdef", weights=[9, 7, 5, 3, 2, 1], k=rng.choice([0, 1, 2, 30]))) for _ in range(60)]
