@@ -260,7 +260,7 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
     key = pdf["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
-    return pd.DataFrame({"n": pdf["n"].iloc[:1], "context": pdf["context"].iloc[:1], "key": [key[order].tobytes()], "v": [pdf["v"].to_numpy(np.float32)[order].tobytes()]})
+    return pd.DataFrame({**{c: pdf[c].iloc[:1] for c in ("n", "context", "range")}, "key": [key[order].tobytes()], "v": [pdf["v"].to_numpy(np.float32)[order].tobytes()]})
 
 
 class Model:
@@ -272,9 +272,16 @@ class Model:
     def slice(self, number: int) -> HashModel:
         """Bounded: about SLICE_ROWS rows, and the orders one and two; tasks sort the arrays, which come as bytes."""
         here = self.rows.where((F.col("pair") < 0) | (F.col("slice") == number)).select("n", "context", "key", "v")
-        got = here.groupBy("n", "context").applyInPandas(_sorted, "n int, context boolean, key binary, v binary").collect()
-        parts = {(n, context): (np.empty(0, np.uint64), np.empty(0, np.float32)) for n in range(1, ORDER + 1) for context in (False, True)}
-        return HashModel(parts | {(r["n"], r["context"]): (np.frombuffer(r["key"], np.uint64), np.frombuffer(r["v"], np.float32)) for r in got}, number, self.slices)
+        # 16 ranges of the hashes a kind, which follow each other in the arrays
+        ranges = here.withColumn("range", F.shiftrightunsigned("key", 60).cast("int"))
+        got = ranges.groupBy("n", "context", "range").applyInPandas(_sorted, "n int, context boolean, range int, key binary, v binary").collect()
+        got = sorted(got, key=lambda r: r["range"])
+        parts = {}
+        for n in range(1, ORDER + 1):
+            for context in (False, True):
+                own = [r for r in got if (r["n"], r["context"]) == (n, context)]
+                parts[n, context] = np.frombuffer(b"".join(r["key"] for r in own), np.uint64), np.frombuffer(b"".join(r["v"] for r in own), np.float32)
+        return HashModel(parts, number, self.slices)
 
 
 def train(first: DataFrame) -> Model:
