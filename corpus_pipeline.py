@@ -1,4 +1,10 @@
-"""A corpus pipeline: toxicity, line dedup, near-duplicate removal, mixing and packing, each stage on what the last one kept."""
+"""A corpus pipeline: toxicity, line dedup, near-duplicate removal, mixing and packing, each stage on what the last one kept.
+
+Input cases: a null or empty text is not toxic, has no lines to lose, is no near duplicate, is drawn like any other and packed as its end id; a null id
+is learnt from by no stage, is the earliest in line dedup, stays in near-duplicate removal and mixing, and is packed; repeated rows are judged alike: they lose the same
+lines, stay or go together, and each is packed; null languages and sources are values of their own; further columns, whatever their names, pass through all
+stages but the last; empty tables give an empty result, and without labels nothing is rejected as toxic.
+"""
 
 from __future__ import annotations
 
