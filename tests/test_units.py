@@ -236,3 +236,32 @@ def test_the_controller_is_the_same_as_a_table_and_step_by_step(spark):
         for r, (_, k, rate) in zip(sorted((r for r in got if r["grp"] == g), key=lambda r: r["seq"]), (x for x in rates if x[0] == g), strict=True):
             s, what = control.rate_step(s, k * 10.0, rate, 100.0, 5.0)
             assert (r["workers"], r["decision"]) == (s.workers, what) and r["pause"] == pytest.approx(s.pause)
+
+
+def test_commands(spark, tmp_path, capsys):
+    from sluice import cli
+
+    ddl_file, yaml_file, out = tmp_path / "t.sql", tmp_path / "t.yaml", tmp_path / "out"
+    ddl_file.write_text("create table s.t (a int not null, b varchar(20), c bool);\nselect * from t where a = %s;\ninsert into t values (%s, %s, %s);\n")
+    assert cli.main(["yaml", "-i", str(ddl_file), "-o", str(yaml_file)]) == 0 and "s__t" in yaml_file.read_text()
+    assert cli.main(["csv", "-i", str(yaml_file), "-o", str(out), "-x", "3", "-m", "10"]) == 0
+    lines = [line for f in sorted(out.iterdir()) for line in f.read_text().splitlines()]
+    assert len(lines) == 100 and all(line.count("\t") == 2 for line in lines)
+    assert cli.main(["gen-stub", "-i", str(ddl_file)]) == 0 and (tmp_path / "t.py").read_text().count("def txn_") == 2
+    for name, part in (("a.txt", "b\nd\nf\n"), ("b.txt", "a\nc\ne\n")):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(part)
+    assert cli.main(["merge-sort", "-i", str(tmp_path / "in"), "-o", str(tmp_path / "sorted"), "-m", "4"]) == 0
+    merged = [f.read_text().split() for f in sorted((tmp_path / "sorted").glob("part-*"))]
+    assert sum(merged, []) == list("abcdef") and all(len(m) <= 4 for m in merged)
+    stats_dir = tmp_path / "stats"
+    stats_dir.mkdir()
+    head = "ts,elapsed,id,threads,tot_ops,tot_ops_s,period_ops,period_ops_s,mean_ms,p50_ms,p90_ms,p95_ms,p99_ms,max_ms,centroids\n"
+    for host in "xy":
+        (stats_dir / f"{host}.csv").write_text(head + "".join(f'{1000 + 10 * k},{10 + 10 * k},f,2,{5 * (k + 1)},0,5,0,1,1,1,1,{k + 1},1,"0.001 4;0.003 1;"\n' for k in range(4)))
+    assert cli.main(["merge-csvs", "-i", str(stats_dir), "-o", str(tmp_path / "both")]) == 0
+    rows = sorted(files.read_stats(spark, str(tmp_path / "both")).collect(), key=lambda r: r["elapsed"])
+    assert [r["period_ops"] for r in rows] == [10] * 4 and [r["threads"] for r in rows] == [4] * 4 and rows[0]["max_ms"] == pytest.approx(3.0)
+    assert cli.main(["html", "-i", str(stats_dir), "-o", str(tmp_path / "c.html")]) == 0 and (tmp_path / "c.html").read_text().count("<polyline") == 4
+    capsys.readouterr()
+    assert cli.main(["plot", "-i", str(stats_dir)]) == 0 and capsys.readouterr().out.startswith("f ")
