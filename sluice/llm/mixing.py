@@ -19,6 +19,8 @@ columns whose names the result uses are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -27,11 +29,13 @@ from sluice.llm.common import WORD_SQL, forget, stored
 DIMS = ("source", "lang", "topic")
 TOPICS, LONG = 8, 5
 #: Sums may be off by so much of all tokens; sweeps end then, or after so many.
-TOLERANCE, SWEEPS = 1e-5, 40
+TOLERANCE, SWEEPS = 1e-4, 40
 TEMPERATURE = 0.7
 SHARE = 0.8
 #: No value is asked for more than this part of its tokens: at all of them the fitting would go on for ever.
 HEADROOM = 0.9
+#: Values of a dimension up to which its sums are broadcast; beyond that the joins are the optimizer's.
+FEW = 100_000
 #: Rounds in which values that give all they have are found; each finds one at least, or is the last.
 ROUNDS = 30
 
@@ -41,8 +45,14 @@ def topic_of(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(f"({WORD_SQL.replace('+', '')}{{{LONG},}})"), 1)
     # the last character of a hexadecimal md5, of which the first eight and the last eight pair up
     marks = F.translate(F.array_join(F.transform(found, lambda w: F.substring(F.md5(w.cast("binary")), 32, 1)), ""), "89abcdef", "01234567")
-    counts = F.array(*[F.length(marks) - F.length(F.replace(marks, F.lit(str(k)), F.lit(""))) for k in range(TOPICS)])
-    return F.when(F.length(marks) > 0, F.concat(F.lit("t"), F.array_position(counts, F.array_max(counts)) - 1)).otherwise(F.lit("none"))
+    counts = lambda m: F.array(*[F.length(m) - F.length(F.replace(m, F.lit(str(k)), F.lit(""))) for k in range(TOPICS)])
+    name = lambda m: once(counts(m), lambda c: F.when(F.array_max(c) > 0, F.concat(F.lit("t"), F.array_position(c, F.array_max(c)) - 1)).otherwise(F.lit("none")))
+    return once(marks, name)
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once, however often the expression has it."""
+    return F.transform(F.array(value), then)[0]
 
 
 def keys_of(topic: Column | None = None) -> dict[str, Column]:
@@ -56,27 +66,40 @@ def features(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     return stored(docs.select("doc_id", *[c.alias(d) for d, c in keys_of(topic).items()], tokens.alias("n_tokens")), "mix-features")
 
 
-def default_targets(cells: DataFrame, dim: str, temperature: float = TEMPERATURE) -> DataFrame:
-    """(dim, target share): token shares flattened by the temperature."""
-    part = cells.where("tokens > 0").groupBy(dim).agg(F.pow(F.sum("tokens"), F.lit(temperature)).alias("w"))
-    whole = part.agg(F.sum("w")).first()[0]  # one number
-    return part.select(dim, (F.col("w") / F.lit(whole or 1.0)).alias("target"))
-
-
-def attainable(cells: DataFrame, dim: str, targets: DataFrame, share: float = SHARE) -> DataFrame:
-    """(dim, target) that the values' tokens suffice for; two numbers a round come to the driver."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 1
-    have = stored(cells.groupBy(dim).agg((F.sum("tokens") * F.lit(HEADROOM) / F.lit(share * total)).alias("most")).join(targets, dim).select(dim, "target", "most"), f"mix-{dim}")
-    factor = 1.0
+def by_dim(values: dict[str, float]) -> Column:
+    """The number of the row's dimension."""
+    out = F.lit(None).cast("double")
+    for d, v in values.items():
+        out = F.when(F.col("dim") == d, F.lit(float(v))).otherwise(out)
+    return out
+
+
+def goals(cells: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, temperature: float = TEMPERATURE) -> dict[str, DataFrame]:
+    """For each dimension (value, target) that the values' tokens suffice for: the given targets, or token shares flattened by the temperature.
+
+    All dimensions are one table; a few numbers of each come to the driver.
+    """
+    targets = targets or {}
+    pairs = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in DIMS])
+    flat = cells.where("tokens > 0").select(F.explode(pairs).alias("p"), "tokens").select("p.dim", "p.value", "tokens").groupBy("dim", "value").agg(F.sum("tokens").alias("tokens"))
+    flat = stored(flat, "mix-margins")
+    sums = {r["dim"]: r for r in flat.groupBy("dim").agg(F.sum("tokens").alias("t"), F.sum(F.pow("tokens", F.lit(temperature))).alias("w")).collect()}
+    if not sums:
+        return {d: flat.select(F.col("value").alias(d), F.lit(0.0).alias("target")) for d in DIMS}
+    most = F.col("tokens") * F.lit(HEADROOM) / by_dim({d: share * r["t"] for d, r in sums.items()})
+    rows = flat.where(~F.col("dim").isin(list(targets))).withColumn("target", F.pow("tokens", F.lit(temperature)) / by_dim({d: r["w"] for d, r in sums.items()}))
+    for d, t in targets.items():
+        rows = rows.unionByName(flat.where(F.col("dim") == d).join(t.select(F.col(d).alias("value"), F.col("target").cast("double").alias("target")), "value"))
+    rows = stored(rows.select("dim", "value", "target", most.alias("most")), "mix-goals")
+    factor = dict.fromkeys(DIMS, 1.0)
     for _ in range(ROUNDS):
-        full = F.lit(factor) * F.col("target") >= F.col("most")
-        got = have.agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("target"))).alias("open")).first()
-        if not got["open"]:
-            break
-        last, factor = factor, (1 - got["full"]) / got["open"]
-        if abs(factor - last) <= 1e-13 * last:
+        full = by_dim(factor) * F.col("target") >= F.col("most")
+        got = rows.groupBy("dim").agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("target"))).alias("open")).collect()
+        new = factor | {r["dim"]: (1 - r["full"]) / r["open"] for r in got if r["open"]}
+        last, factor = factor, new
+        if all(abs(factor[d] - last[d]) <= 1e-13 * last[d] for d in DIMS):
             break
-    return have.select(dim, F.least(F.lit(factor) * F.col("target"), F.col("most")).alias("target"))
+    return {d: rows.where(F.col("dim") == d).select(F.col("value").alias(d), F.least(by_dim(factor) * F.col("target"), F.col("most")).alias("target")) for d in DIMS}
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float = SHARE, sweeps: int = SWEEPS) -> DataFrame:
@@ -87,18 +110,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float = SHARE,
     part = F.col("tokens") / F.lit(total)
     weight = F.least("raw", F.lit(1 / share) * part)
     rows = stored(rows.select(*dims, "tokens", part.alias("raw")), "mix-start")
-    goals = {d: stored(t, f"mix-goal-{d}") for d, t in targets.items()}
+    few = {d: t.limit(FEW + 1).count() <= FEW for d, t in targets.items()}
+    small = lambda frame, dim: F.broadcast(frame) if few[dim] else frame
     for k in range(sweeps):
-        off = 0.0
+        new = rows.withColumn("off", F.lit(0.0))
         for dim in dims:
-            step = rows.groupBy(dim).agg(F.sum(weight).alias("m")).join(goals[dim], dim).select(dim, "m", "target")
-            seen = Observation()
-            new = rows.join(step, dim, "left").observe(seen, F.max(F.abs(F.col("m") - F.col("target"))).alias("off"))
-            # a step reads the cells twice, so unwritten steps would double the plan each time
-            old, rows = rows, stored(new.select(*dims, "tokens", (F.col("raw") * F.coalesce(F.col("target") / F.col("m"), F.lit(0.0))).alias("raw")), f"mix-{k}-{dim}")
-            forget(old)
-            off = max(off, seen.get["off"] or 0.0)
-        if off <= TOLERANCE:
+            step = new.groupBy(dim).agg(F.sum(weight).alias("m")).join(small(targets[dim], dim), dim).select(dim, "m", "target")
+            off = F.greatest("off", F.coalesce(F.abs(F.col("m") - F.col("target")), F.lit(0.0)))
+            new = new.join(small(step, dim), dim, "left").select(*dims, "tokens", (F.col("raw") * F.coalesce(F.col("target") / F.col("m"), F.lit(0.0))).alias("raw"), off.alias("off"))
+        # a step reads the cells twice, so more sweeps unwritten would double the plan again and again
+        seen = Observation()
+        old, rows = rows, stored(new.observe(seen, F.max("off").alias("off")).drop("off"), f"mix-{k}")
+        forget(old)
+        if (seen.get["off"] or 0.0) <= TOLERANCE:
             break
     return rows.select(*dims, "tokens", weight.alias("weight"), (weight / part).alias("ratio"))
 
@@ -106,8 +130,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float = SHARE,
 def cell_probabilities(docs_f: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE) -> DataFrame:
     """DIMS, weight and probability of every cell with tokens."""
     cells = stored(docs_f.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "mix-tokens")
-    goal = {d: default_targets(cells, d) for d in DIMS} | (targets or {})
-    raked = rake(cells, {d: attainable(cells, d, t, share) for d, t in goal.items()}, share)
+    raked = rake(cells, goals(cells, targets, share), share)
     return stored(raked.select(*DIMS, "weight", F.least(F.lit(1.0), F.lit(share) * F.col("ratio")).alias("probability")), "mix-probabilities")
 
 
