@@ -208,7 +208,7 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
 
     Tasks first reduce their links to forests, then so many of these as one task may hold to one forest. If that is one
     task's work, it is done. Else labels fall to the smallest neighbour's label and then to that label's own label, until their sum stays;
-    each round is one aggregate with map-side combine and two equi-joins, written to the shared folder.
+    each round is one aggregate with map-side combine and three equi-joins without broadcasts, written to the shared folder.
     """
     spark = edges.sparkSession
     ship(spark)
@@ -225,10 +225,10 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     before, k = label.agg(total).first()[0], 0
     while before is not None:
         k += 1
-        low = both.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        near = label.join(low, "a").select("a", F.least("c", "m").alias("c"))
+        low = both.hint("merge").join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
+        near = label.hint("merge").join(low, "a").select("a", F.least("c", "m").alias("c"))
         far = label.select(F.col("a").alias("c"), F.col("c").alias("cc"))
-        old, label = label, stored(near.join(far, "c", "left").select("a", F.least("c", F.coalesce("cc", "c")).alias("c")), f"{tag}-{k}")
+        old, label = label, stored(near.hint("merge").join(far, "c", "left").select("a", F.least("c", F.coalesce("cc", "c")).alias("c")), f"{tag}-{k}")
         forget(old)
         now = label.agg(total).first()[0]
         if now == before:

@@ -229,15 +229,16 @@ def linked(members: DataFrame, payloads: DataFrame, link: Callable, tag: str, sm
 
     members: group, id (distinct rows); payloads: id, weight, payload. link: a matrix for two lists of payloads.
     """
-    # members grow with the input, so they are never broadcast
+    # members, and tables of a row a group or id, grow with the input, so they are never broadcast; estimates don't know how many rows an explode makes
     fetch = lambda t: t.hint("merge").join(payloads, "id")
     if small:
         members = members.select("group", "id", F.lit(1).alias("weight"))
     else:
         members = members.hint("merge").join(payloads.groupBy("id").agg(F.max("weight").alias("weight")), "id").select("group", "id", "weight")
     sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).where("n > 1")
+    sizes = stored(sizes, f"{tag}-sizes")  # a join of two shuffles, so that large groups can be split
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_SHINGLES)).cast("int")
-    rows = members.join(sizes, "group").withColumn("blocks", F.least(blocks, F.col("n").cast("int")))
+    rows = members.hint("merge").join(sizes, "group").withColumn("blocks", F.least(blocks, F.col("n").cast("int")))
     rows = stored(rows.select("group", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), f"{tag}-members")
     schema = "a long, b long"
     full = fetch(rows).select(F.xxhash64("group", "block").alias("group"), "id", "payload")
@@ -247,18 +248,19 @@ def linked(members: DataFrame, payloads: DataFrame, link: Callable, tag: str, sm
         return one
     # a few members of each block's components, the largest first, meet those of the other blocks
     comp = components(one, f"{tag}-in-block")
-    inside = large.join(comp, "id", "left").select("group", "id", "blocks", "block", F.coalesce("component_id", "id").alias("c"))
+    inside = large.hint("merge").join(comp, "id", "left").select("group", "id", "blocks", "block", F.coalesce("component_id", "id").alias("c"))
     inside = stored(inside, f"{tag}-large")
     weight = inside.groupBy("group", "block", "c").agg(F.count("*").alias("m"))
     top = weight.groupBy("group", "block").agg(F.max(F.struct("m", "c")).alias("t")).select("group", "block", F.col("t.c").alias("c"))
-    lead = inside.join(top, ["group", "block", "c"]).where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(BLOCK)) < LEADERS).select("group", "id").distinct()
+    lead = inside.hint("merge").join(top, ["group", "block", "c"]).where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(BLOCK)) < LEADERS).select("group", "id").distinct()
+    # count, most and the outsiders' groups have a row a large group, a small part of the members
     count = lead.groupBy("group").agg(F.count("*").alias("n"))
     lead = lead.join(count, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (2 * BLOCK))))
     lead_rows = fetch(lead).select(F.xxhash64("group", "part").alias("group"), "id", "payload")
     two = stored(lead_rows.repartition("group").sortWithinPartitions("group", "id").mapInPandas(_stream(link, small, 256), schema), f"{tag}-leaders")
     links = one.unionByName(two)
     comp = components(links, f"{tag}-led")
-    inside = large.join(comp, "id", "left").select("group", "id", "blocks", "block", F.coalesce("component_id", "id").alias("c"))
+    inside = large.hint("merge").join(comp, "id", "left").select("group", "id", "blocks", "block", F.coalesce("component_id", "id").alias("c"))
     most = inside.groupBy("group", "c").agg(F.count("*").alias("m")).groupBy("group").agg(F.max(F.struct("m", "c")).alias("t")).select("group", F.col("t.c").alias("most"))
     outside = stored(inside.join(most, "group").where("c <> most").select("group", "id", "blocks"), f"{tag}-outside")
     if outside.isEmpty():
@@ -274,7 +276,7 @@ def prefixes(sig: DataFrame) -> DataFrame:
     """(group, id): the prefix postings of each signature, of lists with more than one member."""
     posts = sig.select("id", F.posexplode("coords").alias("c", "v")).select("id", F.xxhash64("c", "v").alias("group"))
     often = posts.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-    shared = posts.join(often, "group")
+    shared = posts.hint("merge").join(often, "group")
     # lists of one member come first in the order and take their part of the prefix
     listed = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "group"))).alias("l"))  # COORDS at most
     length = F.lit(COORDS - MATCHES + 1) - (F.lit(COORDS) - F.size("l"))
@@ -299,8 +301,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sets = stored(texts.mapInPandas(_sets(shingle), "id long, weight long, payload binary"), "mh-texts")
     sure = linked(clusters.select(F.col("component_id").alias("group"), "id"), sets, same_sets(percent), "mh-sets")
     found = components(sure, "mh-components")
-    rep = reps.select("k1", "k2", "n_shingles", F.col("doc_id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    rep = reps.select("k1", "k2", "n_shingles", F.col("doc_id").alias("rep")).hint("merge").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     rep = rep.select("k1", "k2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(rep, ["k1", "k2", "n_shingles"], "left")
+    out = sketch.select("doc_id", "n_shingles", "k1", "k2").hint("merge").join(rep, ["k1", "k2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

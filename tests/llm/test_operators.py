@@ -663,6 +663,23 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
 
 
+def test_near_duplicates_broadcast_nothing_that_grows(spark, monkeypatch):
+    plans = {}
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    keep = minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda d, tag: (plans.update({tag: plan(d)}), keep(d, tag))[1])
+    monkeypatch.setattr("sluice.llm.common.stored", lambda d, tag: (plans.update({tag: plan(d)}), keep(d, tag))[1])
+    monkeypatch.setattr("sluice.llm.common.FOREST_LINKS", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rows = [(k, " ".join(f"w{j}" for j in range(40)) + f" x{k // 2}", "en", "a") for k in range(60)]
+    out = minhash.near_duplicates(make(spark, rows), shingle=2)
+    plans["out"] = plan(out)
+    assert {"mh-prefixes", "mh-lists-members", "mh-sets-members", "mh-lists-large", "out"} <= set(plans)
+    small = ("-outside", "-leaders", "-rest")  # these join a row a large group
+    assert [tag for tag, p in plans.items() if "Broadcast" in p and not tag.endswith(small)] == []
+    assert {r["component_id"] for r in out.collect()} == {0}
+
+
 # awkward and empty input
 
 OPERATORS = {
