@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -79,6 +80,29 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give the memory that this process has freed back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library of another kind has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for a task's batches; its worker, which stays for later tasks and stages, then keeps no more memory than it uses."""
+
+    def own(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return own
+
+
 def crc_mod(col: Column, m: int) -> Column:
     """crc32 of the value as text, modulo m."""
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(m))
@@ -213,9 +237,9 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     spark = edges.sparkSession
     ship(spark)
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    some = stored(edges.mapInPandas(_local_forest, "a long, b long").distinct(), f"{tag}-links")
+    some = stored(edges.mapInPandas(lean(_local_forest), "a long, b long").distinct(), f"{tag}-links")
     tasks = -(-some.count() // FOREST_LINKS)
-    thin = stored(some.coalesce(max(1, tasks)).mapInPandas(_local_forest, "a long, b long"), f"{tag}-forest")
+    thin = stored(some.coalesce(max(1, tasks)).mapInPandas(lean(_local_forest), "a long, b long"), f"{tag}-forest")
     if tasks <= 1:
         # one forest: each id with its root, and the roots
         return thin.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(thin.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())

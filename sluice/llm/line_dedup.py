@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import WORD_SQL, mix64, ship, stored, words
+from sluice.llm.common import WORD_SQL, lean, mix64, ship, stored, words
 from sluice.llm.toxicity import hash_word
 
 MIN_WORDS = 5
@@ -110,8 +110,7 @@ def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = pdf.iloc[a : a + 2000]
             got = [variant_keys(list(w), head, tail) for w, head, tail in zip(part["w"], part["head"], part["tail"], strict=True)]
             at = np.repeat(np.arange(len(part)), [len(k) for k, _ in got])
-            own = {c: part[c].to_numpy()[at] for c in PLACE}
-            yield pd.DataFrame({"key": np.concatenate([k for k, _ in got]), "role": np.concatenate([r for _, r in got]), **own})
+            yield pd.DataFrame({"key": np.concatenate([k for k, _ in got]), "role": np.concatenate([r for _, r in got]), "no": part["no"].to_numpy()[at]})
 
 
 def near_places(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -119,24 +118,25 @@ def near_places(docs: DataFrame, classes: DataFrame) -> DataFrame:
     halves = classes.where("halves is not null").select("h", "g", "place", F.posexplode("halves").alias("k", "half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
     near = halves.join(shared, "half", "left_semi").groupBy("h", "g").agg(F.first("place").alias("place"), F.max(F.col("k") % 2 == 0).alias("head"), F.max(F.col("k") % 2 == 1).alias("tail"))
-    line = F.struct("place.line_no", "h", "g", "head", "tail")
+    # numbers in the order of places: a variant carries 8 bytes instead of a place
+    near = stored(near.repartitionByRange("place").sortWithinPartitions("place").withColumn("no", F.monotonically_increasing_id()), "line-numbers")
+    line = F.struct("place.line_no", "no", "h", "g", "head", "tail")
     wanted = near.groupBy("place.row").agg(F.collect_list(line).alias("wanted"))  # a document's lines
     found = keyed(docs).join(wanted, "row").select("doc_id", "row", F.explode("wanted").alias("x"), F.split(plain(F.col("text")), "\n").alias("parts"))
     words_at = words_of(F.get("parts", F.col("x.line_no")))
-    found = found.select(F.struct("doc_id", "row", "x.line_no").alias("at"), "x.h", "x.g", "x.head", "x.tail", words_at.alias("w"))
+    found = found.select(F.struct("doc_id", "row", "x.line_no").alias("at"), "x.no", "x.h", "x.g", "x.head", "x.tail", words_at.alias("w"))
     lines = stored(found.dropDuplicates(["h", "g"]), "line-near")  # once for copies of a row
     # one row a line, spread evenly: long lines make many variants
-    spread = lines.select("at.*", "head", "tail", "w").repartition(F.xxhash64("h", "g"))
-    variants = stored(spread.mapInPandas(_variants, "key long, role int, doc_id long, row long, line_no int"), "line-variants")
-    variants = variants.select("key", "role", F.struct(*PLACE).alias("at"))
-    best = variants.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"r{r}") for r in (SUB, FULL, DEL)], F.count("*").alias("n")).where("n > 1").drop("n")
+    spread = lines.select("no", "head", "tail", "w").repartition("no")
+    variants = stored(spread.mapInPandas(lean(_variants), "key long, role int, no long"), "line-variants")
+    best = variants.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("no"))).alias(f"r{r}") for r in (SUB, FULL, DEL)], F.count("*").alias("n")).where("n > 1").drop("n")
     partner = F.when(F.col("role") == SUB, F.col(f"r{SUB}")).when(F.col("role") == FULL, F.col(f"r{DEL}")).otherwise(F.col(f"r{FULL}"))
-    met = variants.join(best, "key").select("at", partner.alias("p")).where(F.col("p") < F.col("at"))
-    met = met.groupBy("at").agg(F.min("p").alias("p"))
+    met = variants.join(best, "key").select("no", partner.alias("p")).where(F.col("p") < F.col("no"))
+    met = met.groupBy("no").agg(F.min("p").alias("p"))
     verify = F.pandas_udf(lambda a, b: pd.Series([word_distance_at_most_one(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype=bool), "boolean")
-    other = lines.select(F.col("at").alias("p"), F.col("w").alias("pw"))
-    sure = met.join(lines.select("at", "h", "g", "w"), "at").select("h", "g", "w", "p").join(other, "p").where(verify("w", "pw"))
-    return sure.select("h", "g", F.col("p").alias("near_place"))
+    other = lines.select(F.col("no").alias("p"), F.col("at").alias("near_place"), F.col("w").alias("pw"))
+    sure = met.join(lines.select("no", "h", "g", "w"), "no").select("h", "g", "w", "p").join(other, "p").where(verify("w", "pw"))
+    return sure.select("h", "g", "near_place")
 
 
 def earliest(docs: DataFrame, edits: int = 1) -> DataFrame:

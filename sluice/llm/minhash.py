@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import components, forest, mix64, packed, ship, slabs, stored, unpacked, word_bytes
+from sluice.llm.common import components, forest, lean, mix64, packed, ship, slabs, stored, unpacked, word_bytes
 
 COORDS, MATCHES = 32, 16
 BLOCK = 768
@@ -242,7 +242,7 @@ def linked(members: DataFrame, payloads: DataFrame, link: Callable, tag: str, sm
     rows = stored(rows.select("group", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), f"{tag}-members")
     schema = "a long, b long"
     full = fetch(rows).select(F.xxhash64("group", "block").alias("group"), "id", "payload")
-    one = stored(full.repartition("group").sortWithinPartitions("group", "id").mapInPandas(_stream(link, small, 20_000 if small else 256), schema), f"{tag}-blocks")
+    one = stored(full.repartition("group").sortWithinPartitions("group", "id").mapInPandas(lean(_stream(link, small, 20_000 if small else 256)), schema), f"{tag}-blocks")
     large = rows.where("blocks > 1")
     if large.isEmpty():
         return one
@@ -257,7 +257,7 @@ def linked(members: DataFrame, payloads: DataFrame, link: Callable, tag: str, sm
     count = lead.groupBy("group").agg(F.count("*").alias("n"))
     lead = lead.join(count, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (2 * BLOCK))))
     lead_rows = fetch(lead).select(F.xxhash64("group", "part").alias("group"), "id", "payload")
-    two = stored(lead_rows.repartition("group").sortWithinPartitions("group", "id").mapInPandas(_stream(link, small, 256), schema), f"{tag}-leaders")
+    two = stored(lead_rows.repartition("group").sortWithinPartitions("group", "id").mapInPandas(lean(_stream(link, small, 256)), schema), f"{tag}-leaders")
     links = one.unionByName(two)
     comp = components(links, f"{tag}-led")
     inside = large.hint("merge").join(comp, "id", "left").select("group", "id", "blocks", "block", F.coalesce("component_id", "id").alias("c"))
@@ -269,7 +269,7 @@ def linked(members: DataFrame, payloads: DataFrame, link: Callable, tag: str, sm
     # only groups with outsiders need their blocks again
     both = large.join(outside.select("group").distinct(), "group", "left_semi").select("group", "id", "block", F.lit(False).alias("outside")).unionByName(spread)
     cross = fetch(both).select(F.xxhash64("group", "block").alias("group"), "outside", "id", "weight", "payload").repartition("group").sortWithinPartitions("group", "outside", "id")
-    return links.unionByName(stored(cross.mapInPandas(_cross(link), schema), f"{tag}-rest"))
+    return links.unionByName(stored(cross.mapInPandas(lean(_cross(link)), schema), f"{tag}-rest"))
 
 
 def prefixes(sig: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = stored(docs.mapInPandas(_sketches(shingle), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "mh-sketches")
+    sketch = stored(docs.mapInPandas(lean(_sketches(shingle)), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "mh-sketches")
     classes = sketch.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("r")).where("r is not null")
     reps = stored(classes.select("k1", "k2", "n_shingles", "r.doc_id", "r.sig"), "mh-classes")
     unpack = F.pandas_udf(lambda s: pd.Series([np.frombuffer(x, np.uint32).astype(np.int64) for x in s], dtype=object), "array<bigint>")
@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     clusters = components(pairs, "mh-clusters")
     # texts move once, those of clusters' members stay
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null").join(clusters.select("id").hint("merge"), "id")
-    sets = stored(texts.mapInPandas(_sets(shingle), "id long, weight long, payload binary"), "mh-texts")
+    sets = stored(texts.mapInPandas(lean(_sets(shingle)), "id long, weight long, payload binary"), "mh-texts")
     sure = linked(clusters.select(F.col("component_id").alias("group"), "id"), sets, same_sets(percent), "mh-sets")
     found = components(sure, "mh-components")
     rep = reps.select("k1", "k2", "n_shingles", F.col("doc_id").alias("rep")).hint("merge").join(found.withColumnRenamed("id", "rep"), "rep", "left")

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import chunks, mix64, ship, texts_of, words
+from sluice.llm.common import chunks, lean, mix64, ship, texts_of, words
 
 SAMPLE = 10_000
 PRIOR = 0.05
@@ -234,7 +234,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFra
         part = one.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
         pick = part if pick is None else pick.unionByName(part)
     got = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")  # at most 2 * size rows
-    rows = got.mapInPandas(_sketch, "doc_id long, text string, toxic int, h1 long, h2 long")
+    rows = got.mapInPandas(lean(_sketch), "doc_id long, text string, toxic int, h1 long, h2 long")
     for h in ("h1", "h2"):
         rows = rows.groupBy(h).agg(F.min_by(F.struct(*[c for c in ("doc_id", "text", "toxic", "h1", "h2") if c != h]), "doc_id").alias("r")).select(h, "r.*")
     return rows.select("doc_id", "text", "toxic")
@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> ToxicModel:
     rate = n_t / (n_t + n_c) if n_t + n_c else 0.5
     if not n_t or not n_c:
         return ToxicModel({}, 1.0, 0.1, None, rate)
-    counts = sample.repartition(24, "doc_id").mapInPandas(_doc_counts, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = sample.repartition(24, "doc_id").mapInPandas(lean(_doc_counts), "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # bounded by the sample's words
     got = counts.where((F.col("t") + F.col("c") >= 3) & (~F.col("f").endswith("-") | (F.col("t") * n_c > 3 * F.col("c") * n_t))).toPandas()
     n_features = max(1, len(got))
@@ -280,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> ToxicModel:
             found = [model.scan(t) for t in texts_of(pdf)]
             yield pd.DataFrame({"toxic": pdf["toxic"], "n": [n for _, n in found], "s": [[float(x[0]) for x in got] for got, _ in found]})
 
-    fit = sample.mapInPandas(run, "toxic int, n long, s array<double>").toPandas()  # at most 2 * size rows
+    fit = sample.mapInPandas(lean(run), "toxic int, n long, s array<double>").toPandas()  # at most 2 * size rows
     y = fit["toxic"].to_numpy(float)
     best = np.array([max(x, default=0.0) for x in fit["s"]])
     model.lam, model.k = fit_extremes(best[y == 0], fit["n"].to_numpy()[y == 0], model.lam)
@@ -309,7 +309,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[at], "score": scores, "passages": spans})
 
     schema = "doc_id long, score double, passages array<struct<first_word:int,last_word:int,bits:double>>"
-    out = docs.select("doc_id", "text").mapInPandas(run, schema)
+    out = docs.select("doc_id", "text").mapInPandas(lean(run), schema)
     return out.withColumn("predicted", (F.col("score") >= PREDICT).cast("int")).withColumn("n_passages", F.size("passages"))
 
 
@@ -319,9 +319,13 @@ def score_column(spark, model: ToxicModel, text: str = "text"):
     held = spark.sparkContext.broadcast(model.parts())
     token = held._jbroadcast.id()
 
-    def run(col: pd.Series) -> pd.Series:
+    def scored(cols: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = _model(token, held.value)
-        return pd.Series([own.score_text(t if isinstance(t, str) else "") for t in col], dtype=float)
+        for col in cols:
+            yield pd.Series([own.score_text(t if isinstance(t, str) else "") for t in col], dtype=float)
+
+    def run(cols: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return lean(scored)(cols)
 
     return F.pandas_udf(run, "double")(text)
 

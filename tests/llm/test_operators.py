@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sluice.llm import ann, html_text, line_dedup, minhash, mixing, ngram_scoring, packing, quality, queries, token_count, toxicity
-from sluice.llm.common import WORD, components, forest, words
+from sluice.llm.common import WORD, components, forest, lean, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, g long, id long, uid long, `group` long, shard long, w string, c long, component_id long, kept boolean, weight double"
 
@@ -574,6 +574,22 @@ def test_extract_of_awkward_pages(spark):
 
 # 9 lines
 
+def test_workers_give_back_what_a_task_took():
+    rss = lambda: int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024
+
+    def run(batches):
+        for _ in batches:
+            many = [bytes(3000) for _ in range(100_000)]
+            last.append(bytes(3000))  # lies behind them on the heap
+            del many
+            yield rss()
+
+    last = []
+    for _ in lean(run)(iter([None])):
+        held = rss()
+    assert held - rss() > 100
+
+
 def test_word_distance():
     ok = line_dedup.word_distance_at_most_one
     assert ok(["a", "b"], ["a", "b"]) and ok(["a", "b"], ["a"]) and ok(["a"], ["b"]) and ok(["b", "c"], ["a", "b", "c"])
@@ -630,6 +646,17 @@ def test_lines_of_rows_with_one_id(spark):
     assert sum(long in (t or "") for t in exact) == 3
 
 
+def test_variants_carry_numbers_in_the_order_of_places(spark, monkeypatch):
+    tables, keep = {}, line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda d, tag: tables.setdefault(tag, keep(d, tag)))
+    rng = random.Random(4)
+    rows = [(k % 30, " ".join(rng.choices("abc", k=6)) + "\n" + " ".join(rng.choices("abc", k=6)), "en", "a") for k in range(60)]
+    line_dedup.dedup_lines(make(spark, rows)).collect()
+    assert tables["line-variants"].columns == ["key", "role", "no"]
+    near = tables["line-near"].select("no", "at").collect()
+    assert len(near) > 20 and [r["no"] for r in sorted(near, key=lambda r: r["at"])] == sorted({r["no"] for r in near})
+
+
 # 10 MinHash
 
 @pytest.mark.parametrize("block", [8, 768])
