@@ -1,8 +1,8 @@
 """Near duplicates of vectors with navigable small-world graphs, one hierarchy a shard.
 
 Equal vectors are one row with a count. Rows are dealt over shards; each shard builds its own graph, and every vector
-queries every shard. A shard's beam doubles until an audit, vectors that query it (of other shards first) held against all of its rows, finds
-at least AUDIT_RECALL of the true links of a query on average, without links to itself and without queries that are answered from all rows. A query whose beam is full of links is answered from all rows of the shard instead,
+queries its own shard and, of each two shards, the vectors of one query the other; a link found counts for both ends. A shard's beam doubles until an audit, vectors that query it (of other shards first) held against all of its rows, finds
+at least AUDIT_RECALL of the true links of a query on average, without links to itself and without queries that are answered from all rows. A query whose beam is full of links takes a wider one, and if that is full as well, is answered from all rows of the shard,
 so no number of partners is cut off. Cosines are verified in double precision. Each task gives link
 counts and only links that span the components it saw, so a group of near copies makes no list of all its pairs.
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import components, forest, ship, stored
@@ -27,7 +27,8 @@ from sluice.llm.common import components, forest, ship, stored
 THRESHOLD = 0.9
 SHARDS, SHARD_FLOATS = 8, 12_800_000
 DEGREE = 12
-BEAM = 32
+#: Beams of a graph's building and, at first, of a query; a query whose beam is full of links takes one FULLER times as wide.
+BUILD_BEAM, BEAM, FULLER = 32, 16, 4
 AUDIT_RECALL, AUDIT_ROWS = 0.99, 128
 #: Queries of a shard among which the audit looks for linked ones.
 AUDIT_POOL = 8192
@@ -37,7 +38,7 @@ STEP = 4
 class Graph:
     """A hierarchy of proximity graphs over unit vectors."""
 
-    def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 7):
+    def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, seed: int = 7):
         self.x = np.ascontiguousarray(x, np.float32)
         n = len(x)
         self.beam = beam
@@ -166,6 +167,22 @@ class Graph:
         del rows
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
+    def descend(self, q: np.ndarray, lev: int, entry: np.ndarray) -> np.ndarray:
+        """The row at which each query's walk to ever nearer neighbours on one layer ends."""
+        at = entry.copy()
+        sim = np.einsum("bd,bd->b", self.x[at], q)
+        live = np.arange(len(q))
+        while len(live):
+            near = self.nb[lev][at[live]]
+            s = np.einsum("bcd,bd->bc", self.x[np.maximum(near, 0)], q[live])
+            s[near < 0] = -np.inf
+            best = s.argmax(1)
+            row = np.arange(len(live))
+            up = s[row, best] > sim[live]
+            at[live[up]], sim[live[up]] = near[row[up], best[up]], s[row[up], best[up]]
+            live = live[up]
+        return at
+
     def query(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam of each query on the lowest layer, entered through the higher ones."""
         out = []
@@ -174,7 +191,7 @@ class Graph:
             part = np.ascontiguousarray(q[a : a + size], np.float32)
             entry = np.full(len(part), self.entry, np.int64)
             for lev in range(self.top, 0, -1):
-                entry = self.search(part, lev, 1, entry)[0][:, 0]
+                entry = self.descend(part, lev, entry)
             out.append(self.search(part, 0, min(beam, len(self.x)), entry))
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
@@ -193,6 +210,7 @@ class Shard:
         self.x = unit(vectors)
         self.graph = Graph(self.x)
         self.beam, self.recall = BEAM, 0.0
+        self.back = np.zeros(len(ids), np.int64)
 
     def audit(self, ids: np.ndarray, q: np.ndarray) -> None:
         """Widen the beam until it finds what a full search does, for up to AUDIT_ROWS of the queries that are linked with other rows."""
@@ -227,14 +245,18 @@ class Shard:
 
     def find(self, q: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Places of the rows linked with each query, and whether they come from all rows."""
-        ids, sims = self.graph.query(q, self.beam)
-        maybe = (sims >= self.threshold - 1e-3) & (ids >= 0)
-        exact = 2 * maybe.sum(1) > self.beam
-        full = np.flatnonzero(exact)
-        out: list[np.ndarray] = []
-        for i in range(len(q)):
-            j = ids[i, maybe[i]]
-            out.append(j[self.x[j] @ q[i] >= self.threshold])
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
+        full = np.arange(len(q))
+        for beam in (self.beam, self.beam * FULLER):
+            ids, sims = self.graph.query(q[full], beam) if len(full) else (np.empty((0, 1), np.int64), np.empty((0, 1)))
+            maybe = (sims >= self.threshold - 1e-3) & (ids >= 0)
+            more = 2 * maybe.sum(1) > beam
+            for k in np.flatnonzero(maybe.any(1) & ~more):
+                j, i = ids[k, maybe[k]], full[k]
+                out[i] = j[self.x[j] @ q[i] >= self.threshold]
+            full = full[more]
+        exact = np.zeros(len(q), bool)
+        exact[full] = True
         for a in range(0, len(full), 256):
             part = full[a : a + 256]
             hit = self.x @ q[part].T >= self.threshold
@@ -272,12 +294,22 @@ def _search(threshold: float):
             links = np.bincount(at[other], weights=c[other], minlength=len(ids)).astype(np.int64)
             x, y = forest(a[other], b[other])
             some = links > 0
+            # a query of another shard isn't asked the other way round
+            far = other & ~np.isin(a, built.ids)
+            built.back += np.bincount(j[far], weights=pdf["n"].to_numpy(np.int64)[at[far]], minlength=len(built.ids)).astype(np.int64)
             return pd.DataFrame({"a": np.concatenate([ids[some], x]), "b": np.concatenate([np.full(some.sum(), -1), y]), "n": np.concatenate([links[some], np.zeros(len(x), np.int64)]), "link": np.repeat([False, True], [some.sum(), len(x)])})
 
+        def ended() -> Iterator[pd.DataFrame]:
+            """The last answers, and the links that queries of other shards found to the shard's rows."""
+            yield from flush()
+            if built is not None and built.back.any():
+                at = np.flatnonzero(built.back)
+                yield pd.DataFrame({"a": built.ids[at], "b": -1, "n": built.back[at], "link": False})
+
         for pdf in batches:
             for (*key, query), part in pdf.groupby(["shard", "dim", "query"], sort=True):
                 if key != shard:
-                    yield from flush()
+                    yield from ended()
                     shard, built, held = key, None, []
                 if not query:
                     held.append(part)
@@ -285,7 +317,7 @@ def _search(threshold: float):
                 waiting.append(part)
                 if built is not None or sum(map(len, waiting)) >= AUDIT_POOL:
                     yield from flush()
-        yield from flush()
+        yield from ended()
 
     return run
 
@@ -299,6 +331,17 @@ def own_partitions(spark: SparkSession, parts: int) -> DataFrame:
     return every.select("part", F.coalesce("shard", F.col("part") + parts * 40).alias("shard"))
 
 
+def home_part(parts: int) -> Column:
+    return F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+
+
+def asked_parts(reps: DataFrame, parts: int) -> DataFrame:
+    """reps with home and each part that a row queries: its own, and half of the circle behind it, so that of two parts one queries the other."""
+    last = F.when(F.col("home") < parts // 2, F.lit(parts // 2)).otherwise(F.lit((parts - 1) // 2))
+    asked = F.transform(F.sequence(F.lit(0), last), lambda d: F.pmod(F.col("home") + d, F.lit(parts)).cast("int"))
+    return reps.withColumn("home", home_part(parts)).withColumn("part", F.explode(asked))
+
+
 def vector_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shards: int = SHARDS, shard_floats: int = SHARD_FLOATS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -312,10 +355,9 @@ def vector_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shards:
     parts = max(shards, -(-floats // shard_floats))
     keys = stored(own_partitions(spark, parts), "ann-shards")
     # vectors of another length have shards of their own
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
     columns = ["shard", F.size("embedding").alias("dim"), "query", "vec_id", "embedding", "n"]
-    own = reps.withColumns({"part": part, "query": F.lit(False)}).join(keys, "part").select(columns)
-    ask = reps.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "query": F.lit(True)}).join(keys, "part").select(columns)
+    own = reps.withColumns({"part": home_part(parts), "query": F.lit(False)}).join(keys, "part").select(columns)
+    ask = asked_parts(reps, parts).withColumn("query", F.lit(True)).join(keys, "part").select(columns)
     dealt = own.unionByName(ask).repartition(parts, "shard").sortWithinPartitions("shard", "dim", "query")
     found = stored(dealt.mapInPandas(_search(threshold), "a long, b long, n long, link boolean"), "ann-found")
     counts = found.where(~F.col("link")).groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))

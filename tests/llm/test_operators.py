@@ -378,6 +378,26 @@ def _lose(ids, sims, below):
     return ids, np.where(ids < below, -np.inf, sims)
 
 
+@pytest.mark.parametrize("shards", [1, 2, 5, 8])
+def test_two_shards_meet_once_and_count_for_both_ends(spark, shards):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(120, 16))
+    x = np.concatenate([base, base[:60] + 0.05 * rng.normal(size=(60, 16)), base[:60]])  # the last are copies
+    got = ann.vector_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), shards=shards).toPandas().set_index("vec_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    assert (got.loc[range(len(x)), "n_links"].to_numpy() == link.sum(1) - 1).all()
+    low = dict(zip(*forest(*np.nonzero(link)), strict=True))
+    assert got.loc[range(len(x)), "component_id"].tolist() == [low.get(i, i) for i in range(len(x))]
+    # of the 180 vectors that differ each asks its own shard, and about half of the others
+    vectors = [(k, v.tolist(), 1) for k, v in enumerate(x[:180])]
+    for n in (1, 2, 5, 8, 9):
+        ask = ann.asked_parts(spark.createDataFrame(vectors, "vec_id long, embedding array<double>, n long"), n).collect()
+        pairs = {(r["home"], r["part"]) for r in ask}
+        assert len(ask) == len({(r["vec_id"], r["part"]) for r in ask}) <= 180 * (1 + n / 2)
+        assert all((a, a) in pairs for a, _ in pairs) and all(((a, b) in pairs) != ((b, a) in pairs) for a in range(n) for b in range(a))
+
+
 def test_no_vectors(spark):
     assert ann.vector_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
