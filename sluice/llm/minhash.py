@@ -34,6 +34,8 @@ BLOCK = 768
 #: A single set may be larger; it is then alone in its block.
 BLOCK_SHINGLES = 1_500_000
 LEADERS = 24
+#: Words whose hashes a worker keeps.
+KNOWN = 100_000
 SEEDS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -49,7 +51,7 @@ class Shingler:
         found, known = word_bytes(text), self.known
         if not found:
             return np.empty(0, np.uint64)
-        if len(known) > 400_000:
+        if len(known) > KNOWN:
             known.clear()
         new = set(found).difference(known)
         known.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))

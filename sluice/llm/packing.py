@@ -21,13 +21,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import ship, stored, texts_of
+from sluice.llm.common import lean, ship, stored
 
 CAPACITY = 1024
 SHARD = 2500
 #: Bins below this share of the capacity are dealt again.
 UNDERFULL = 0.995
-CACHE = 500_000
+#: Runs whose ids a worker keeps.
+CACHE = 100_000
+#: Rows of a batch that a worker holds as Python's objects.
+ROWS = 1000
 SPECIAL = "<|endoftext|>"
 
 
@@ -105,17 +108,22 @@ def pieces_of(docs: DataFrame, paths: tuple, end_id: int = 2, capacity: int = CA
     """(doc_id, piece, start, length, ids_crc32) of each document's pieces. paths: (ranks, json, pattern)."""
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
         enc, end = _encoder(paths), np.array([end_id], "<u4").tobytes()
-        for pdf in batches:
-            rows = []
-            for i, t in zip(pdf["doc_id"], texts_of(pdf), strict=True):
-                data = enc.ids(t) + end
-                rows += [(i, k, a, n, zlib.crc32(data[4 * a : 4 * (a + n)])) for k, (a, n) in enumerate(cut(len(data) // 4, capacity))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        for batch in batches:
+            # a batch may be large; only some of its rows are Python's at a time
+            for lo in range(0, batch.num_rows, ROWS):
+                part, rows = batch.slice(lo, ROWS), []
+                for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    data = enc.ids(t or "") + end
+                    rows += [(i, k, a, n, zlib.crc32(data[4 * a : 4 * (a + n)])) for k, (a, n) in enumerate(cut(len(data) // 4, capacity))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

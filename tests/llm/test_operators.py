@@ -751,6 +751,15 @@ def test_empty_tables(empty, name):
     assert OPERATORS[name](empty).count() == 0
 
 
+def test_pieces_take_some_rows_at_a_time(spark, monkeypatch):
+    texts = [None, "", "one", "two words", "a b c " * 400, "x" * 50] * 3
+    frame = spark.createDataFrame([(k if k else None, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    want = packing.pieces_of(frame, queries.encoder_paths()).collect()
+    monkeypatch.setattr(packing, "ROWS", 4)
+    assert packing.pieces_of(frame, queries.encoder_paths()).collect() == want and len({r["doc_id"] for r in want}) == 18
+    assert packing.CACHE <= 100_000
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack_documents(empty, queries.encoder_paths()).count() == 0
 
