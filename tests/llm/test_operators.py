@@ -727,6 +727,16 @@ def test_near_duplicates_broadcast_nothing_that_grows(spark, monkeypatch):
     assert {r["component_id"] for r in out.collect()} == {0}
 
 
+def test_the_pipelines_near_duplicates_broadcast_no_postings(spark, monkeypatch):
+    import corpus_pipeline
+
+    plans, keep = {}, minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda d, tag: (plans.update({tag: d._jdf.queryExecution().executedPlan().toString()}), keep(d, tag))[1])
+    rows = [(k, " ".join(f"w{j}" for j in range(60)) + f" x{k // 2}", "en", "a") for k in range(12)]
+    assert [r["doc_id"] for r in corpus_pipeline.minhash(spark, make(spark, rows), "").collect()] == [0]
+    assert [tag for tag in ("mh-prefixes", "mh-lists-members", "mh-sets-members") if "Broadcast" in plans[tag]] == []
+
+
 # awkward and empty input
 
 OPERATORS = {
