@@ -737,6 +737,16 @@ def test_the_pipelines_near_duplicates_broadcast_no_postings(spark, monkeypatch)
     assert [tag for tag in ("mh-prefixes", "mh-lists-members", "mh-sets-members") if "Broadcast" in plans[tag]] == []
 
 
+def test_the_pipeline_broadcasts_no_ids_of_near_duplicates(spark):
+    import corpus_pipeline
+
+    rows = [(k, " ".join(f"w{j}" for j in range(60)) + f" x{k // 2}", "en", "a") for k in range(12)]
+    out = corpus_pipeline.minhash(spark, make(spark, [*rows, (None, rows[0][1], "en", "a"), (20, "another text", "en", "a")]), "")
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == ["0", "20", "None"]
+    plan = out._jdf.queryExecution().executedPlan().toString()  # with what ran
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
 # awkward and empty input
 
 OPERATORS = {
